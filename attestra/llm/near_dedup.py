@@ -31,8 +31,8 @@ from attestra.llm.tables import documents_only, kept, table
 
 SHINGLE = 3
 THRESHOLD = 0.5
-BANDS = 42
-ROWS = 3
+BANDS = 56
+ROWS = 4
 SEED = 7
 _FULL = np.iinfo(np.uint64).max
 _SLICE = 4 << 20
@@ -174,8 +174,8 @@ _ORACLE = f"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{K.WORD_CLASS}') AS ws FROM documents
 ), s AS (
-  SELECT doc_id, list_distinct(CASE WHEN len(ws) < {SHINGLE} THEN [array_to_string(ws, ' ')]
-    ELSE list_transform(range(1, len(ws) - {SHINGLE - 2}), lambda i: array_to_string(ws[i:i + {SHINGLE - 1}], ' ')) END) AS sh
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) < {SHINGLE} THEN [hash(array_to_string(ws, ' '))]
+    ELSE list_transform(range(1, len(ws) - {SHINGLE - 2}), lambda i: hash(array_to_string(ws[i:i + {SHINGLE - 1}], ' '))) END) AS sh
   FROM w WHERE len(ws) > 0
 ), u AS (SELECT doc_id, unnest(sh) AS g FROM s), n AS (SELECT doc_id, len(sh) AS n FROM s),
 c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM u x JOIN u y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
