@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from attestra.llm import near_dedup
+from attestra.llm import mixing, near_dedup, packing, sharding, tokens
 
-MODULES = (near_dedup,)
+MODULES = (sharding, near_dedup, packing, tokens, mixing)
 
 
 def queries() -> dict:
