@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 WORD_CLASS = r"[^ \t\n\x0B\f\r]+"
 U64 = np.uint64
@@ -73,12 +74,14 @@ def utf8_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def byte_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that each holds about ``limit`` bytes of ``column``; rows stay whole, none is lost."""
+    """Cut record batches so that each holds about ``limit`` bytes of ``column`` (text or binary); rows stay whole, none is lost."""
     for batch in batches:
         n = batch.num_rows
         if n == 0:
             continue
-        _, offsets = utf8_parts(batch.column(batch.schema.get_field_index(column)))
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
+        offsets = np.zeros(n + 1, np.int64)
+        np.cumsum(sizes.to_numpy(zero_copy_only=False), out=offsets[1:])
         start = 0
         while start < n:
             stop = int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1

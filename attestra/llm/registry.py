@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from attestra.llm import mixing, near_dedup, packing, sharding, tokens
+from attestra.llm import fingerprints, media, mixing, near_dedup, packing, sharding, tokens
 
-MODULES = (sharding, near_dedup, packing, tokens, mixing)
+MODULES = (fingerprints, sharding, near_dedup, packing, tokens, mixing, media)
 
 
 def queries() -> dict:
