@@ -170,13 +170,13 @@ _ORACLE = f"""
 WITH d AS (SELECT doc_id, text, length(text)::BIGINT AS n, list_transform(string_split(text, ''), lambda c: ord(c)::BIGINT) AS cs FROM documents),
 f AS (SELECT doc_id, n, {", ".join(f"{_sql_hash(i)} AS h{i}" for i in range(4))} FROM d),
 u AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
-l AS (SELECT doc_id, line, (sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1)::BIGINT AS at FROM u),
-k AS (SELECT doc_id, at, min(at) OVER (PARTITION BY doc_id, line) AS src FROM l WHERE line <> ''),
+l AS (SELECT doc_id, line, (sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1)::BIGINT AS pos FROM u),
+k AS (SELECT doc_id, pos, min(pos) OVER (PARTITION BY doc_id, line) AS src FROM l WHERE line <> ''),
 c AS (SELECT doc_id, count(*) AS lines FROM k GROUP BY 1),
-r AS (SELECT k.doc_id, k.at, k.src, coalesce(list_filter(range(0, n - at), lambda j: cs[at + j + 1] <> cs[src + j + 1])[1], n - at) AS reach FROM k JOIN d USING (doc_id) WHERE src < at),
-b AS (SELECT doc_id, reach, at, src FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY reach DESC, at) = 1)
+r AS (SELECT k.doc_id, k.pos, k.src, coalesce(list_filter(range(0, n - pos), lambda j: cs[pos + j + 1] <> cs[src + j + 1])[1], n - pos) AS reach FROM k JOIN d USING (doc_id) WHERE src < pos),
+b AS (SELECT doc_id, reach, pos, src FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY reach DESC, pos) = 1)
 SELECT f.doc_id, n AS n_chars, h0 * 2147483648 + h1 AS fingerprint_a, h2 * 2147483648 + h3 AS fingerprint_b, coalesce(lines, 0) AS n_lines,
-  coalesce(reach, 0)::BIGINT AS repeat_length, at AS repeat_at, src AS repeat_of
+  coalesce(reach, 0)::BIGINT AS repeat_length, pos AS repeat_at, src AS repeat_of
 FROM f LEFT JOIN c USING (doc_id) LEFT JOIN b USING (doc_id)
 """
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from attestra.llm import fingerprints, media, mixing, near_dedup, packing, sharding, tokens
+from attestra.llm import fingerprints, language, media, mixing, near_dedup, packing, quality, sharding, tokens
 
-MODULES = (fingerprints, sharding, near_dedup, packing, tokens, mixing, media)
+MODULES = (fingerprints, sharding, near_dedup, packing, language, tokens, mixing, media, quality)
 
 
 def queries() -> dict:
