@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from attestra.llm import fingerprints, language, media, mixing, near_dedup, packing, quality, sharding, tokens
+from attestra.llm import fingerprints, language, media, mixing, near_dedup, packing, quality, sharding, substrings, tokens
 
-MODULES = (fingerprints, sharding, near_dedup, packing, language, tokens, mixing, media, quality)
+MODULES = (fingerprints, sharding, near_dedup, packing, language, tokens, substrings, mixing, media, quality)
 
 
 def queries() -> dict:
