@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -261,9 +262,7 @@ def filter_language(docs: DataFrame, min_confidence: float = MIN_CONFIDENCE, sam
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("language string, keep boolean")
-    def found(texts: Iterator) -> Iterator:
-        import pandas as pd
-
+    def found(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for series in texts:
             batch = pa.RecordBatch.from_arrays([pa.array(series, pa.large_string(), from_pandas=True)], ["text"])
