@@ -167,7 +167,7 @@ def _sql_hash(i: int) -> str:
 
 
 _ORACLE = f"""
-WITH d AS (SELECT doc_id, text, length(text)::BIGINT AS n, list_transform(string_split(text, ''), lambda c: ord(c)::BIGINT) AS cs FROM documents),
+WITH d AS (SELECT doc_id, text, length(text)::BIGINT AS n, list_filter(list_transform(string_split(text, ''), lambda c: ord(c)::BIGINT), lambda c: c > 0) AS cs FROM documents),
 f AS (SELECT doc_id, n, {", ".join(f"{_sql_hash(i)} AS h{i}" for i in range(4))} FROM d),
 u AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
 l AS (SELECT doc_id, line, (sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1)::BIGINT AS pos FROM u),

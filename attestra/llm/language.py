@@ -176,7 +176,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS, doc_id: str =
     The idf is counted over all documents.  Weights and temperature are fitted on at most
     ``sample`` labelled rows of each language (a fifth of them, held out, for the
     temperature): those with the least hash of doc_id, whole texts.  Rows with a null label
-    or without letters are not used; a table without labelled rows gives a model of no languages.
+    or without letters are not used; a table without usable rows gives a model of no languages.
     """
     df, total = document_frequencies(docs, text, bits)
     idf = np.log((1.0 + total) / (1.0 + df))
@@ -196,16 +196,18 @@ def train(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS, doc_id: str =
             lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(v.astype(np.int32))) for v in (f, c)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *lists], ["h", "i", "label", "features", "counts"])
 
-    picked = src.filter(below).mapInArrow(run, "h bigint, i string, label string, features array<int>, counts array<int>") if languages else None
+    picked = src.filter(below).mapInArrow(run, "h bigint, i string, label string, features array<int>, counts array<int>")
     rows, labels, seen = [], [], dict.fromkeys(languages, 0)
     # at most languages x (1.1 x sample + 200) rows, give or take chance
-    for r in sorted(picked.toLocalIterator() if picked is not None else [], key=lambda r: (r["h"], r["i"] or "")):
+    for r in sorted(picked.collect() if languages else [], key=lambda r: (r["h"], r["i"] or "")):
         if seen[r["label"]] >= sample or not len(r["features"]):
             continue
         seen[r["label"]] += 1
         f, c = np.asarray(r["features"]), np.asarray(r["counts"], float)
         rows.append((f, c / c.sum() * idf[f] * _SCALE))
         labels.append(languages.index(r["label"]))
+    if not rows:
+        return Model([], np.zeros((1 << bits, 0), np.float32), 1.0, bits)
     y = np.asarray(labels, np.int64)
     held = np.arange(len(rows)) % 5 == 4
     fit = np.flatnonzero(~held)

@@ -155,7 +155,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, cell: int = CELL, underfull:
     cells = max(1, math.ceil(cut.filter("words > 0").count() / cell))
     placed = cut.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(cells)))
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["words", "doc_id", "piece"], ascending=[False, True, True], kind="stable", na_position="first").reset_index(drop=True)
         sizes = group["words"].to_numpy(np.int64)
         number = np.zeros(len(group), np.int64)
