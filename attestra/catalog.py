@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from attestra.plans import leakage
+
+MODULES = (leakage,)
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: q for m in MODULES for k, q in m.ORACLE.items()}
