@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 WORD_CLASS = r"[^ \t\n\x0B\f\r]+"
 U64 = np.uint64
 #: Bytes of text that one kernel call takes at most, unless a single text is longer.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _BYTE_BASE = U64(0x9E3779B97F4A7C15)
 _WORD_BASE = U64(0xD1B54A32D192ED03)
@@ -44,14 +44,14 @@ def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _POWERS.get(int(base))
     if have is not None and len(have[0]) >= n:
         return have
-    size = max(n, SLICE_BYTES + 1) if n <= 4 * SLICE_BYTES else n
+    size = max(n, SLICE_BYTES + 1) if n <= 2 * SLICE_BYTES else n
     inverse = U64(pow(int(base), -1, 1 << 64))
     out = []
     for b in (base, inverse):
         p = np.full(size, b, np.uint64)
         p[0] = 1
         out.append(np.cumprod(p, dtype=np.uint64))
-    if size <= 4 * SLICE_BYTES:
+    if size <= 2 * SLICE_BYTES:
         _POWERS[int(base)] = (out[0], out[1])
     return out[0], out[1]
 

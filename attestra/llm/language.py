@@ -13,7 +13,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +26,7 @@ BITS = 16
 #: At most so many labelled rows of each language are used for training; those with the least hash of their doc_id.
 SAMPLE = 1500
 MIN_CONFIDENCE = 0.5
-_SLICE_BYTES = 1 << 20
+_SLICE_BYTES = 1 << 18
 _SCALE = 100.0
 
 
@@ -263,11 +262,11 @@ def filter_language(docs: DataFrame, min_confidence: float = MIN_CONFIDENCE, sam
     model = train(docs, sample, doc_id=doc_id, text=text, label=label)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("language string, keep boolean")
-    def found(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<language:string,keep:boolean>")
+    def found(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
-        for series in texts:
-            batch = pa.RecordBatch.from_arrays([pa.array(series, pa.large_string(), from_pandas=True)], ["text"])
+        for column in texts:
+            batch = pa.RecordBatch.from_arrays([column], ["text"])
             language, keep = [], []
             for part in byte_slices([batch], "text", _SLICE_BYTES):
                 if not m.languages:
@@ -278,7 +277,7 @@ def filter_language(docs: DataFrame, min_confidence: float = MIN_CONFIDENCE, sam
                 good = (n > 0) & (p.max(axis=1) >= min_confidence)
                 language += [m.languages[b] for b in p.argmax(axis=1)]
                 keep += good.tolist()
-            yield pd.DataFrame({"language": language, "keep": keep})
+            yield pa.StructArray.from_arrays([pa.array(language, pa.string()), pa.array(keep, pa.bool_())], ["language", "keep"])
 
     scored = docs.withColumn("__language", found(F.col(f"`{text}`").cast("string"))).filter("__language.keep")
     return scored.select(*[F.col("__language.language").cast(docs.schema[c].dataType).alias(c) if c == label else F.col(f"`{c}`") for c in docs.columns])

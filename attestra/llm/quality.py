@@ -22,7 +22,7 @@ from attestra.llm.tables import documents_only, table
 #: Share of the pooled covariance in a class's, and of the mean variance in the result.
 TO_POOLED, TO_DIAGONAL = 0.2, 0.02
 FEATURES = ("words", "word_length", "word_spread", "letters", "capitals", "digits", "signs", "lines", "new_words", "new_pairs", "one_sign_words", "long_words")
-_SLICE_BYTES = 1 << 20
+_SLICE_BYTES = 1 << 19
 #: Shares and means are those of the text and PRIOR ordinary words, so that a text of a few words is not an outlier.
 PRIOR, PRIOR_LENGTH, PRIOR_SPREAD = 8.0, 5.0, 3.0
 _LETTER, _CAPITAL, _DIGIT, _SIGN = 1, 2, 3, 4
