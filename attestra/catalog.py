@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from attestra.plans import leakage
+from attestra.plans import detection, leakage, metrics
 
-MODULES = (leakage,)
+MODULES = (leakage, metrics, detection)
 
 
 def queries() -> dict:
