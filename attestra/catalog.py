@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from attestra.plans import detection, leakage, metrics
+from attestra.plans import detection, leakage, metrics, study
 
-MODULES = (leakage, metrics, detection)
+MODULES = (leakage, metrics, detection, study)
 
 
 def queries() -> dict:
