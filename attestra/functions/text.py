@@ -110,8 +110,12 @@ def word_grams(normal: Column) -> Column:
 def char_grams(normal: Column, sizes: tuple[int, ...] = (3, 4, 5)) -> Column:
     """Prefixed character n-grams of the padded text, with repeats."""
     padded = F.concat(F.lit(" "), normal, F.lit(" "))
-    parts = [F.when(F.length(padded) >= n, F.transform(F.sequence(F.lit(1), F.length(padded) - (n - 1)), lambda i, n=n: F.concat(F.lit(f"c{n}:"), F.substring(padded, i, F.lit(n))))).otherwise(F.array().cast("array<string>")) for n in sizes]
-    return F.concat(*parts)
+
+    def one(n: int) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.length(padded) - (n - 1)), lambda i: F.concat(F.lit(f"c{n}:"), F.substring(padded, i, F.lit(n))))
+        return F.when(F.length(padded) >= n, grams).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*[one(n) for n in sizes])
 
 
 def lexical_overlap(a: Column, b: Column) -> Column:
