@@ -195,16 +195,26 @@ def train(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS, doc_id: str =
             lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(v.astype(np.int32))) for v in (f, c)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *lists], ["h", "i", "label", "features", "counts"])
 
-    picked = src.filter(below).mapInArrow(run, "h bigint, i string, label string, features array<int>, counts array<int>")
     rows, labels, seen = [], [], dict.fromkeys(languages, 0)
-    # at most languages x (1.1 x sample + 200) rows, give or take chance
-    for r in sorted(picked.collect() if languages else [], key=lambda r: (r["h"], r["i"] or "")):
-        if seen[r["label"]] >= sample or not len(r["features"]):
-            continue
-        seen[r["label"]] += 1
-        f, c = np.asarray(r["features"]), np.asarray(r["counts"], float)
-        rows.append((f, c / c.sum() * idf[f] * _SCALE))
-        labels.append(languages.index(r["label"]))
+    if languages:
+        # at most languages x (1.1 x sample + 200) rows, give or take chance; as flat Arrow columns, not Python numbers
+        got = src.filter(below).mapInArrow(run, "h bigint, i string, label string, features array<int>, counts array<int>").toArrow().combine_chunks()
+        keys = list(zip(got.column("h").to_pylist(), got.column("i").to_pylist(), strict=True))
+        label = got.column("label").to_pylist()
+        flat = []
+        for name in ("features", "counts"):
+            column = got.column(name).combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
+            column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+            flat.append((column.offsets.to_numpy(), column.values.to_numpy()))
+        (at, features), (_, tally) = flat
+        for r in sorted(range(got.num_rows), key=lambda r: (keys[r][0], keys[r][1] or "")):
+            f = features[at[r] : at[r + 1]]
+            if seen[label[r]] >= sample or not len(f):
+                continue
+            seen[label[r]] += 1
+            c = tally[at[r] : at[r + 1]].astype(np.float32)
+            rows.append((f, c / c.sum() * idf[f].astype(np.float32) * np.float32(_SCALE)))
+            labels.append(languages.index(label[r]))
     if not rows:
         return Model([], np.zeros((1 << bits, 0), np.float32), 1.0, bits)
     y = np.asarray(labels, np.int64)
