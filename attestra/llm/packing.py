@@ -46,57 +46,61 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[list[list[int]], list[in
     return bins, fill
 
 
+def _pairs(items: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sums, first items, second items): a pair of items for every two sizes that two items have."""
+    items = items[np.argsort(sizes[items], kind="stable")]
+    u, first, count = np.unique(sizes[items], return_index=True, return_counts=True)
+    i, j = np.triu_indices(len(u))
+    there = (i != j) | (count[i] > 1)
+    i, j = i[there], j[there]
+    return u[i] + u[j], items[first[i]], items[first[j] + (i == j)]
+
+
 def _exchange(a: int, bins: list[list[int]], fill: list[int], sizes: np.ndarray, capacity: int):
     """The exchange between bin a and another that adds most to the sum of squared fills, or None.
 
     An exchange takes one item, or two, from a for nothing or one item of the other bin,
     or one item from a for two of the other: a net shift of d > 0 words to the other bin.
+    The gain d * (d + other's fill - a's fill) is greatest for the greatest d that fits, so
+    for each thing to take back one search among the sorted things to give finds the best.
     """
     others = [b for b in range(len(bins)) if b != a and fill[b] < capacity and bins[b]]
     if not others or not bins[a]:
         return None
     mine = np.asarray(bins[a])
-    s = sizes[mine]
     rooms = np.array([capacity - fill[b] for b in others])
     fills = np.array([fill[b] for b in others])
     theirs = np.concatenate([bins[b] for b in others])
     owner = np.repeat(np.arange(len(others)), [len(bins[b]) for b in others])
-    t = sizes[theirs]
-    i1, i2 = np.triu_indices(len(mine), 1)
+    none = np.full(len(others), -1)
+    ones = (sizes[mine], mine, np.full(len(mine), -1))
+    twos = _pairs(mine, sizes)
+    nothing = (np.zeros(len(others), np.int64), none, none, np.arange(len(others)))
+    one_back = (sizes[theirs], theirs, np.full(len(theirs), -1), owner)
     best = None
 
-    def consider(give: np.ndarray, back: np.ndarray, which: np.ndarray, kind: str):
+    def consider(gives: tuple, backs: tuple) -> None:
         nonlocal best
-        if not len(give) or not len(back):
+        if not len(gives[0]) or not len(backs[0]):
             return
-        d = give[:, None] - back[None, :]
-        gain = np.where((d > 0) & (d <= rooms[which][None, :]), d * (d + fills[which][None, :] - fill[a]), 0)
+        order = np.argsort(gives[0], kind="stable")
+        give, back, of = gives[0][order], backs[0], backs[3]
+        at = np.searchsorted(give, back + rooms[of], "right") - 1
+        d = np.where(at >= 0, give[np.maximum(at, 0)] - back, 0)
+        gain = np.where(d > 0, d * (d + fills[of] - fill[a]), 0)
         k = int(gain.argmax())
-        g = int(gain.flat[k])
-        if g > 0 and (best is None or g > best[0]):
-            x, y = divmod(k, gain.shape[1])
-            best = (g, kind, x, y)
-
-    whole = np.arange(len(others))
-    consider(s, np.zeros(len(others), s.dtype), whole, "move")
-    consider(s, t, owner, "swap")
-    consider(s[i1] + s[i2], np.zeros(len(others), s.dtype), whole, "move two")
-    consider(s[i1] + s[i2], t, owner, "two for one")
+        if gain[k] > 0 and (best is None or gain[k] > best[0]):
+            g = order[at[k]]
+            best = (int(gain[k]), others[int(of[k])], [int(x[g]) for x in gives[1:] if x[g] >= 0], [int(x[k]) for x in backs[1:3] if x[k] >= 0])
+
+    for gives in (ones, twos):
+        for backs in (nothing, one_back):
+            consider(gives, backs)
     if best is None:  # the dearest kind last: one of a for two of another
-        starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-        ends = np.r_[starts[1:], len(owner)]
-        p = [np.stack(np.triu_indices(e - b, 1)) + b for b, e in zip(starts, ends, strict=True)]
-        p1, p2 = np.concatenate([x[0] for x in p]), np.concatenate([x[1] for x in p])
-        consider(s, t[p1] + t[p2], owner[p1], "one for two")
-    if best is None:
-        return None
-    _, kind, x, y = best
-    gives = [int(mine[x])] if kind in ("move", "swap", "one for two") else [int(mine[i1[x]]), int(mine[i2[x]])]
-    if kind in ("move", "move two"):
-        return others[y], gives, []
-    if kind == "one for two":
-        return others[int(owner[p1[y]])], gives, [int(theirs[p1[y]]), int(theirs[p2[y]])]
-    return others[int(owner[y])], gives, [int(theirs[y])]
+        each = [_pairs(np.asarray(bins[b]), sizes) for b in others]
+        owners = np.repeat(np.arange(len(others)), [len(e[0]) for e in each])
+        consider(ones, (*(np.concatenate([e[i] for e in each]) for i in range(3)), owners))
+    return None if best is None else best[1:]
 
 
 def improve(bins: list[list[int]], fill: list[int], sizes: np.ndarray, capacity: int, underfull: float = UNDERFULL) -> None:
