@@ -37,13 +37,20 @@ def tokens(normal: Column) -> Column:
     return F.array_distinct(ordered_tokens(normal))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body and its lambdas name it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def character_ngrams(normal: Column, size: int = 3) -> Column:
     """Distinct n-grams of the padded text with signs read as spaces; none for texts shorter than ``size``."""
     words = F.trim(F.regexp_replace(F.regexp_replace(normal, r"(?U)[^\w\s]+", " "), r"(?U)\s+", " "))
-    padded = F.concat(F.lit(" "), words, F.lit(" "))
-    last = F.length(padded) - (size - 1)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(padded, i, F.lit(size)))
-    return F.when(F.length(words) >= size, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+
+    def grams(w: Column) -> Column:
+        all_ = _let(F.concat(F.lit(" "), w, F.lit(" ")), lambda p: F.transform(F.sequence(F.lit(1), F.greatest(F.length(p) - (size - 1), F.lit(1))), lambda i: F.substring(p, i, F.lit(size))))
+        return F.when(F.length(w) >= size, F.array_distinct(all_)).otherwise(F.array().cast("array<string>"))
+
+    return _let(words, grams)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -101,21 +108,24 @@ def normalize_ml(normal: Column) -> Column:
 
 def word_grams(normal: Column) -> Column:
     """Prefixed 1- and 2-grams of words, with repeats."""
-    w = F.regexp_extract_all(normal, F.lit(r"(?U)(<num>|\w+)"), 1)
-    one = F.transform(w, lambda x: F.concat(F.lit("w1:"), x))
-    two = F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat(F.lit("w2:"), F.element_at(w, i), F.lit(" "), F.element_at(w, i + 1)))).otherwise(F.array().cast("array<string>"))
-    return F.concat(one, two)
+    none = F.array().cast("array<string>")
+
+    def grams(w: Column) -> Column:
+        one = F.transform(w, lambda x: F.concat(F.lit("w1:"), x))
+        two = F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat(F.lit("w2:"), F.element_at(w, i), F.lit(" "), F.element_at(w, i + 1)))).otherwise(none)
+        return F.concat(one, two)
+
+    return _let(F.regexp_extract_all(normal, F.lit(r"(?U)(<num>|\w+)"), 1), grams)
 
 
 def char_grams(normal: Column, sizes: tuple[int, ...] = (3, 4, 5)) -> Column:
     """Prefixed character n-grams of the padded text, with repeats."""
-    padded = F.concat(F.lit(" "), normal, F.lit(" "))
+    none = F.array().cast("array<string>")
 
-    def one(n: int) -> Column:
-        grams = F.transform(F.sequence(F.lit(1), F.length(padded) - (n - 1)), lambda i: F.concat(F.lit(f"c{n}:"), F.substring(padded, i, F.lit(n))))
-        return F.when(F.length(padded) >= n, grams).otherwise(F.array().cast("array<string>"))
+    def one(p: Column, n: int) -> Column:
+        return F.when(F.length(p) >= n, F.transform(F.sequence(F.lit(1), F.length(p) - (n - 1)), lambda i: F.concat(F.lit(f"c{n}:"), F.substring(p, i, F.lit(n))))).otherwise(none)
 
-    return F.concat(*[one(n) for n in sizes])
+    return _let(F.concat(F.lit(" "), normal, F.lit(" ")), lambda p: F.concat(*[one(p, n) for n in sizes]))
 
 
 def lexical_overlap(a: Column, b: Column) -> Column:

@@ -69,15 +69,20 @@ def near_match_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.best_matches(train, test, "doc_id", "doc_id", "text", 0.8, "token_jaccard_v1")
 
 
+def _turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(questions, answers) of the conversations."""
+    turns = table(spark, sf_dir, "conversations").withColumn("id", F.concat_ws(":", "conv_id", "turn"))
+    return turns.filter("role = 'user'"), turns.filter("role <> 'user'")
+
+
 def near_match_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = split_documents(spark, sf_dir)
-    return S.best_matches(train, test, "doc_id", "doc_id", "text", 0.9, "hybrid_lexical_v1")
+    """Of each answer in the conversations the question most like it, by words or trigrams."""
+    return S.best_matches(*_turns(spark, sf_dir), "id", "id", "text", 0.4, "hybrid_lexical_v1")
 
 
 def near_match_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each answer in the conversations the question most like it, in word order."""
-    turns = table(spark, sf_dir, "conversations").withColumn("id", F.concat_ws(":", "conv_id", "turn"))
-    return S.best_matches(turns.filter("role = 'user'"), turns.filter("role <> 'user'"), "id", "id", "text", 0.6, "ordered_tokens_v1")
+    return S.best_matches(*_turns(spark, sf_dir), "id", "id", "text", 0.3, "ordered_tokens_v1")
 
 
 def near_match_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,12 +116,12 @@ SELECT l.doc_id AS left_position, r.doc_id AS right_position, l.s AS left_split,
     "near_match_jaccard": f"""WITH s AS (SELECT doc_id, list_distinct({_TOKENS}) AS f FROM documents), u AS (SELECT doc_id, unnest(f) AS g FROM s), {_PAIRS},
 j AS (SELECT test_id, train_id, k / (len(a.f) + len(b.f) - k) AS similarity FROM c JOIN s a ON a.doc_id = test_id JOIN s b ON b.doc_id = train_id)
 SELECT test_id, train_id, similarity FROM j WHERE similarity >= 0.8 QUALIFY row_number() OVER (PARTITION BY test_id ORDER BY similarity DESC, train_id) = 1""",
-    "near_match_hybrid": f"""WITH s AS (SELECT doc_id, list_distinct({_TOKENS}) AS f, ' ' || {_WORDS} || ' ' AS w FROM documents),
-t AS (SELECT doc_id, f, CASE WHEN length(w) < 5 THEN [] ELSE list_distinct(list_transform(range(1, length(w) - 1), lambda i: substring(w, i, 3))) END AS h FROM s),
-u AS (SELECT doc_id, 't' || unnest(f) AS g FROM t UNION ALL SELECT doc_id, 'g' || unnest(h) FROM t),
-c AS (SELECT x.doc_id AS test_id, y.doc_id AS train_id, sum((x.g[1] = 't')::INT) AS k, sum((x.g[1] = 'g')::INT) AS m FROM u x JOIN u y ON x.g = y.g AND x.doc_id % 5 = 0 AND y.doc_id % 5 <> 0 GROUP BY 1, 2),
-j AS (SELECT test_id, train_id, greatest(k / (len(a.f) + len(b.f) - k), CASE WHEN len(a.h) + len(b.h) > 0 THEN 2.0::DOUBLE * m / (len(a.h) + len(b.h)) ELSE 0 END) AS similarity FROM c JOIN t a ON a.doc_id = test_id JOIN t b ON b.doc_id = train_id)
-SELECT test_id, train_id, similarity FROM j WHERE similarity >= 0.9 QUALIFY row_number() OVER (PARTITION BY test_id ORDER BY similarity DESC, train_id) = 1""",
+    "near_match_hybrid": f"""WITH s AS (SELECT conv_id || ':' || turn AS id, role <> 'user' AS is_test, list_distinct({_TOKENS}) AS f, ' ' || {_WORDS} || ' ' AS w FROM conversations),
+t AS (SELECT id, is_test, f, CASE WHEN length(w) < 5 THEN [] ELSE list_distinct(list_transform(range(1, length(w) - 1), lambda i: substring(w, i, 3))) END AS h FROM s),
+u AS (SELECT id, is_test, 't' || unnest(f) AS g FROM t UNION ALL SELECT id, is_test, 'g' || unnest(h) FROM t),
+c AS (SELECT x.id AS test_id, y.id AS train_id, sum((x.g[1] = 't')::INT) AS k, sum((x.g[1] = 'g')::INT) AS m FROM u x JOIN u y ON x.g = y.g AND x.is_test AND NOT y.is_test GROUP BY 1, 2),
+j AS (SELECT test_id, train_id, greatest(k / (len(a.f) + len(b.f) - k), CASE WHEN len(a.h) + len(b.h) > 0 THEN 2.0::DOUBLE * m / (len(a.h) + len(b.h)) ELSE 0 END) AS similarity FROM c JOIN t a ON a.id = test_id JOIN t b ON b.id = train_id)
+SELECT test_id, train_id, similarity FROM j WHERE similarity >= 0.4::DOUBLE QUALIFY row_number() OVER (PARTITION BY test_id ORDER BY similarity DESC, train_id) = 1""",
     "near_match_counters": f"""WITH s AS (SELECT doc_id, {_TOKENS} AS f FROM documents), e AS (SELECT doc_id, unnest(f) AS g FROM s), u AS (SELECT doc_id, g, count(*) AS n FROM e GROUP BY 1, 2),
 c AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.n, y.n)) AS m FROM u x JOIN u y ON x.g = y.g AND x.doc_id % 5 = 0 AND y.doc_id % 5 <> 0 GROUP BY 1, 2)
 SELECT (SELECT count(*) FROM s WHERE doc_id % 5 = 0 AND len(f) > 0) * (SELECT count(*) FROM s WHERE doc_id % 5 <> 0) AS exhaustive, count(*) AS candidates,
