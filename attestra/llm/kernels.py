@@ -11,6 +11,7 @@ is the same definition as a regular expression for Spark and DuckDB.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,6 +74,14 @@ def utf8_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system, so that idle workers don't hold on to what a batch once took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def byte_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about ``limit`` bytes of ``column`` (text or binary); rows stay whole, none is lost."""
     for batch in batches:
@@ -88,6 +97,7 @@ def byte_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLI
             stop = min(max(stop, start + 1), n)
             yield batch.slice(start, stop - start)
             start = stop
+        give_back()
 
 
 class Words:

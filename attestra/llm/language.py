@@ -272,6 +272,7 @@ def filter_language(docs: DataFrame, min_confidence: float = MIN_CONFIDENCE, sam
     model = train(docs, sample, doc_id=doc_id, text=text, label=label)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    # called nondeterministic below, so that the filter on its result doesn't evaluate it a second time
     @F.arrow_udf("struct<language:string,keep:boolean>")
     def found(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
@@ -289,7 +290,7 @@ def filter_language(docs: DataFrame, min_confidence: float = MIN_CONFIDENCE, sam
                 keep += good.tolist()
             yield pa.StructArray.from_arrays([pa.array(language, pa.string()), pa.array(keep, pa.bool_())], ["language", "keep"])
 
-    scored = docs.withColumn("__language", found(F.col(f"`{text}`").cast("string"))).filter("__language.keep")
+    scored = docs.withColumn("__language", found.asNondeterministic()(F.col(f"`{text}`").cast("string"))).filter("__language.keep")
     return scored.select(*[F.col("__language.language").cast(docs.schema[c].dataType).alias(c) if c == label else F.col(f"`{c}`") for c in docs.columns])
 
 

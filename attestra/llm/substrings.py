@@ -239,12 +239,13 @@ def drop_repeats(docs: DataFrame, span: int = SPAN, doc_id: str = "doc_id", text
         lost = lost.join(numbers, ["__id", "__ver"])
         same = same & (F.md5(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary")) == F.col("__md5"))
 
+    # called nondeterministic below, so that the filter on its result doesn't evaluate it a second time
     @F.arrow_udf("string")
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
         return pa.array([_cut(t.as_py(), s.as_py()) if s.is_valid else None for t, s in zip(texts, spans, strict=True)], pa.string())
 
     old = F.col(f"`{text}`").cast("string")
-    joined = rows.join(lost, same, "left").withColumn("__new", cut(F.when(F.col("__spans").isNotNull(), old), F.col("__spans"))).filter("__spans is null or __new is not null")
+    joined = rows.join(lost, same, "left").withColumn("__new", cut.asNondeterministic()(F.when(F.col("__spans").isNotNull(), old), F.col("__spans"))).filter("__spans is null or __new is not null")
     changed = F.col("__spans").isNotNull()
 
     def column(c: str):
