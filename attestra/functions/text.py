@@ -42,13 +42,22 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _runs(text: Column, size: int, prefix: str = "") -> Column:
+    """All runs of ``size`` characters.  Cut from an array of characters: substring() looks for its place from the start of the text each time."""
+
+    def runs(c: Column) -> Column:
+        one = lambda i: F.concat(*([F.lit(prefix)] if prefix else []), *[F.get(c, i + k) for k in range(size)])
+        return F.when(F.size(c) >= size, F.transform(F.sequence(F.lit(0), F.size(c) - size), one)).otherwise(F.array().cast("array<string>"))
+
+    return _let(F.regexp_extract_all(text, F.lit(r"(?s)(.)"), 1), runs)
+
+
 def character_ngrams(normal: Column, size: int = 3) -> Column:
     """Distinct n-grams of the padded text with signs read as spaces; none for texts shorter than ``size``."""
     words = F.trim(F.regexp_replace(F.regexp_replace(normal, r"(?U)[^\w\s]+", " "), r"(?U)\s+", " "))
 
     def grams(w: Column) -> Column:
-        all_ = _let(F.concat(F.lit(" "), w, F.lit(" ")), lambda p: F.transform(F.sequence(F.lit(1), F.greatest(F.length(p) - (size - 1), F.lit(1))), lambda i: F.substring(p, i, F.lit(size))))
-        return F.when(F.length(w) >= size, F.array_distinct(all_)).otherwise(F.array().cast("array<string>"))
+        return F.when(F.length(w) >= size, F.array_distinct(_runs(F.concat(F.lit(" "), w, F.lit(" ")), size))).otherwise(F.array().cast("array<string>"))
 
     return _let(words, grams)
 
@@ -120,12 +129,7 @@ def word_grams(normal: Column) -> Column:
 
 def char_grams(normal: Column, sizes: tuple[int, ...] = (3, 4, 5)) -> Column:
     """Prefixed character n-grams of the padded text, with repeats."""
-    none = F.array().cast("array<string>")
-
-    def one(p: Column, n: int) -> Column:
-        return F.when(F.length(p) >= n, F.transform(F.sequence(F.lit(1), F.length(p) - (n - 1)), lambda i: F.concat(F.lit(f"c{n}:"), F.substring(p, i, F.lit(n))))).otherwise(none)
-
-    return _let(F.concat(F.lit(" "), normal, F.lit(" ")), lambda p: F.concat(*[one(p, n) for n in sizes]))
+    return _let(F.concat(F.lit(" "), normal, F.lit(" ")), lambda p: F.concat(*[_runs(p, n, f"c{n}:") for n in sizes]))
 
 
 def lexical_overlap(a: Column, b: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from attestra.functions import canonical, names, stats
 from attestra.functions import text as T
 from attestra.operators import artifacts, claims, classification, detection, evidence, features, leakage, notebooks, similarity, split, study
+from attestra.plans import leakage as leakage_plans
 from attestra.sources import readers
 from attestra.streaming import screening
 
@@ -103,6 +104,41 @@ def test_indexed_join_is_the_exhaustive_one(spark, method):
     assert all(got[k][0] == want[k][0] and math.isclose(got[k][1], want[k][1]) for k in want)
 
 
+def _documents(spark, folder):
+    """Documents with near copies across the split, long ones among them: one letter changed in many words, one word added, two words exchanged."""
+    r = random.Random(118)
+    words = ["".join(r.choice("abcdefghijklmnoprstuvwy") for _ in range(r.randrange(4, 12))) for _ in range(400)]
+    texts = []
+    for i in range(24):
+        base = [r.choice(words) for _ in range((12, 60, 300)[i % 3])]
+        a = [x + "s" if k % 9 == 0 else x for k, x in enumerate(base)]
+        at = r.randrange(len(base) - 1)
+        b = base[:at] + [base[at + 1], base[at]] + base[at + 2 :]
+        texts += [" ".join(x) for x in (base, a, b, [*base, "added"], r.sample(base, len(base)))]
+    r.shuffle(texts)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    return texts
+
+
+def _brute_matches(texts, method, threshold):
+    want = {}
+    train = [j for j in range(len(texts)) if j % 5]
+    for i in range(0, len(texts), 5):
+        s, t = max((_score(texts[i], texts[j], method), -j) for j in train)
+        if s >= threshold:
+            want[i] = (-t, s)
+    return want
+
+
+def test_trigrams_are_matched_over_the_documents(spark, tmp_path):
+    texts = _documents(spark, tmp_path)
+    got = {r["test_id"]: (r["train_id"], r["similarity"]) for r in leakage_plans.QUERIES["near_match_hybrid_documents"](spark, str(tmp_path)).collect()}
+    want = _brute_matches(texts, "hybrid_lexical_v1", 0.9)
+    assert want.keys() - _brute_matches(texts, "token_jaccard_v1", 0.9).keys()
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and math.isclose(got[k][1], want[k][1]) for k in want)
+
+
 def test_join_counters(spark):
     train = spark.createDataFrame([(i, f"shared token{i}") for i in range(20)], "id int, text string")
     c = one(similarity.join_counters(train, train.limit(5), "id", "id", "text"))
