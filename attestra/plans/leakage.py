@@ -91,6 +91,12 @@ def near_match_hybrid_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.best_matches(train, test, "doc_id", "doc_id", "text", 0.9, "hybrid_lexical_v1")
 
 
+def near_match_ordered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each test document the train document most like it, in word order."""
+    train, test = split_documents(spark, sf_dir)
+    return S.best_matches(train, test, "doc_id", "doc_id", "text", 0.8, "ordered_tokens_v1")
+
+
 def near_match_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = split_documents(spark, sf_dir)
     return S.join_counters(train, test, "doc_id", "doc_id", "text", 0.8)
@@ -100,7 +106,7 @@ _TOKENS = "regexp_extract_all(" + _NORMAL.format("text") + ", '[\\p{L}\\p{N}\\p{
 _WORDS = "trim(regexp_replace(regexp_replace(" + _NORMAL.format("text") + ", '[^\\p{L}\\p{N}\\p{M}_\\s]+', ' ', 'g'), '\\s+', ' ', 'g'))"
 _PAIRS = """c AS (SELECT x.doc_id AS test_id, y.doc_id AS train_id, count(*) AS k FROM u x JOIN u y ON x.g = y.g AND x.doc_id % 5 = 0 AND y.doc_id % 5 <> 0 GROUP BY 1, 2)"""
 
-QUERIES = {f.__name__: f for f in (split_exact_overlap, split_normalized_overlap, split_normalized_only, split_group_overlap, split_duplicates, leakage_summary, overlap_examples, cross_split_exact_pairs, row_fingerprints, near_match_jaccard, near_match_hybrid, near_match_ordered, near_match_hybrid_documents, near_match_counters)}
+QUERIES = {f.__name__: f for f in (split_exact_overlap, split_normalized_overlap, split_normalized_only, split_group_overlap, split_duplicates, leakage_summary, overlap_examples, cross_split_exact_pairs, row_fingerprints, near_match_jaccard, near_match_hybrid, near_match_ordered, near_match_hybrid_documents, near_match_ordered_documents, near_match_counters)}
 ORACLE = {
     "split_exact_overlap": f"WITH {_SPLIT} SELECT doc_id, lang, source FROM test WHERE text IN (SELECT text FROM train)",
     "split_normalized_overlap": f"WITH {_SPLIT}, {_LOUD} SELECT doc_id FROM loud WHERE {_NORMAL.format('text')} IN (SELECT {_NORMAL.format('text')} FROM train)",
