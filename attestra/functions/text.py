@@ -132,6 +132,17 @@ def char_grams(normal: Column, sizes: tuple[int, ...] = (3, 4, 5)) -> Column:
     return _let(F.concat(F.lit(" "), normal, F.lit(" ")), lambda p: F.concat(*[_runs(p, n, f"c{n}:") for n in sizes]))
 
 
+def tally(values: Column) -> Column:
+    """Array of (feature, n), each distinct value once, by sorting within the row."""
+
+    def ends(s: Column) -> Column:
+        last = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == F.size(s)) | (F.get(s, i) != F.get(s, i - 1)))
+        each = _let(last, lambda e: F.transform(e, lambda i, k: F.struct(F.get(s, i - 1).alias("feature"), (i - F.coalesce(F.get(e, k - 1), F.lit(0))).cast("bigint").alias("n"))))
+        return F.when(F.size(s) > 0, each)
+
+    return _let(F.sort_array(values), ends)
+
+
 def lexical_overlap(a: Column, b: Column) -> Column:
     """Jaccard similarity of the white-space tokens longer than one character, small letters."""
     long = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda x: F.length(x) > 1))

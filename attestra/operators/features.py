@@ -9,16 +9,22 @@ from attestra.functions import text as T
 from attestra.functions.stats import sigmoid
 
 
-def word_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, feature, n) of word 1- and 2-grams of the normalised text."""
+def _counts(df: DataFrame, key: str, text: str, grams, unique: bool) -> DataFrame:
     normal = df.select(key, T.normalize_ml(T.normalize_text(F.col(text))).alias("n"))
-    return normal.select(key, F.explode(T.word_grams(F.col("n"))).alias("feature")).groupBy(key, "feature").agg(F.count("*").alias("n"))
+    if unique:
+        # the outer form, for the plain one's inferred filter would compute the features twice more
+        return normal.select(key, F.inline_outer(T.tally(grams(F.col("n"))))).filter("feature is not null")
+    return normal.select(key, F.explode(grams(F.col("n"))).alias("feature")).groupBy(key, "feature").agg(F.count("*").alias("n"))
 
 
-def character_counts(df: DataFrame, key: str, text: str) -> DataFrame:
+def word_counts(df: DataFrame, key: str, text: str, unique: bool = False) -> DataFrame:
+    """(key, feature, n) of word 1- and 2-grams of the normalised text; with ``unique`` keys, one row each, without a shuffle."""
+    return _counts(df, key, text, T.word_grams, unique)
+
+
+def character_counts(df: DataFrame, key: str, text: str, unique: bool = False) -> DataFrame:
     """(key, feature, n) of character 3-, 4- and 5-grams."""
-    normal = df.select(key, T.normalize_ml(T.normalize_text(F.col(text))).alias("n"))
-    return normal.select(key, F.explode(T.char_grams(F.col("n"))).alias("feature")).groupBy(key, "feature").agg(F.count("*").alias("n"))
+    return _counts(df, key, text, T.char_grams, unique)
 
 
 def idf(counts: DataFrame, documents: DataFrame, size: int = 20_000) -> DataFrame:

@@ -31,6 +31,23 @@ def character_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.character_counts(table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
+def word_features_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.word_counts(table(spark, sf_dir, "documents"), "doc_id", "text", unique=True)
+
+
+def idf_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the 20,000 commonest features."""
+    return X.idf(word_features_documents(spark, sf_dir), table(spark, sf_dir, "documents"))
+
+
+def tfidf_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.tfidf(word_features_documents(spark, sf_dir), idf_documents(spark, sf_dir), "doc_id")
+
+
+def character_features_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.character_counts(table(spark, sf_dir, "documents"), "doc_id", "text", unique=True)
+
+
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn with the one before it."""
     t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
@@ -108,7 +125,7 @@ n AS (SELECT id, feature, count(*) AS n FROM u GROUP BY 1, 2),
 d AS (SELECT feature, count(*) AS df FROM n GROUP BY 1 ORDER BY df DESC, feature LIMIT 2000),
 i AS (SELECT feature, df, ln((1.0::DOUBLE + (SELECT count(*) FROM conversations)) / (1.0::DOUBLE + df)) + 1.0::DOUBLE AS idf FROM d)"""
 
-QUERIES = {f.__name__: f for f in (word_features, idf_top, tfidf_weights, character_features, lexical_overlap, numeric_consistency, ranker_scores, ranking_mrr, artifact_roles, artifact_selection, hash_ranked_sample, owner_split)}
+QUERIES = {f.__name__: f for f in (word_features, idf_top, tfidf_weights, character_features, word_features_documents, idf_documents, tfidf_documents, character_features_documents, lexical_overlap, numeric_consistency, ranker_scores, ranking_mrr, artifact_roles, artifact_selection, hash_ranked_sample, owner_split)}
 ORACLE = {
     "word_features": f"WITH {_WORDS} SELECT id, feature, n FROM n",
     "idf_top": f"WITH {_WORDS} SELECT feature, df, idf FROM i",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from attestra.functions import canonical, names, stats
 from attestra.functions import text as T
 from attestra.operators import artifacts, claims, classification, detection, evidence, features, leakage, notebooks, similarity, split, study
+from attestra.plans import features as features_plans
 from attestra.plans import leakage as leakage_plans
 from attestra.sources import readers
 from attestra.streaming import screening
@@ -311,3 +312,29 @@ def test_the_rest_does_not_need_the_corpus_operators():
 
     root = pathlib.Path(attestra.__file__).parent
     assert not [p for p in root.rglob("*.py") if "llm" not in p.relative_to(root).parts and "attestra.llm" in p.read_text()]
+
+
+def test_text_features_are_of_whole_documents(spark, tmp_path):
+    import re
+    from collections import Counter
+
+    r = random.Random(119)
+    texts = [" ".join(f"{r.choice('abcdé')}{r.randrange(400)}x" for _ in range(n)) for n in (0, 1, 2, 40, 3000, *[700] * 25)] + ["Straße 12.5% 𝒳 up", "A a a"]
+    spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: features_plans.QUERIES[name](spark, str(tmp_path)).collect()
+    normal = [T.normalized(re.sub(r"(?<![\w.])[-+]?\d+(?:[.,]\d+)*%?", "<num>", T.normalized(t))) for t in texts]
+    words = [re.findall(r"<num>|\w+", t) for t in normal]
+    bags = [Counter([f"w1:{x}" for x in w] + [f"w2:{x} {y}" for x, y in zip(w, w[1:])]) for w in words]
+    assert {(x["doc_id"], x["feature"]): x["n"] for x in run("word_features_documents")} == {(i, f): n for i, b in enumerate(bags) for f, n in b.items()}
+    chars = [Counter(f"c{k}:{p[i : i + k]}" for k in (3, 4, 5) for i in range(len(p) - k + 1)) for p in (f" {t} " for t in normal)]
+    assert {(x["doc_id"], x["feature"]): x["n"] for x in run("character_features_documents")} == {(i, f): n for i, b in enumerate(chars) for f, n in b.items()}
+    df = Counter(f for b in bags for f in b)
+    assert len(df) > 20_000
+    top = sorted(df, key=lambda f: (-df[f], f))[:20_000]
+    idf = {f: math.log((2.0 + len(texts)) / (1.0 + df[f])) + 1.0 for f in top}
+    assert {x["feature"]: x["idf"] for x in run("idf_documents")} == pytest.approx(idf)
+    want = {}
+    for i, b in enumerate(bags):
+        w = {f: (1 + math.log(n)) * idf[f] for f, n in b.items() if f in idf}
+        want |= {(i, f): x / math.sqrt(sum(y * y for y in w.values())) for f, x in w.items()}
+    assert {(x["doc_id"], x["feature"]): x["weight"] for x in run("tfidf_documents")} == pytest.approx(want)
