@@ -1,8 +1,9 @@
 """Quantitative claims in reports, and their comparison with evidence.
 
-The core grammar (metric, separator, number, percent sign) is native.  extract() is the
-whole one: prose, Markdown and HTML tables, tab-separated lines, in an Arrow-batched
-function, behind a native test for digits.
+The core grammar (metric, separator, number, percent sign) is native.  extract() adds
+exponents, units, further prose layers, Markdown and HTML tables and tab-separated lines, in
+an Arrow-batched function, behind a native test for digits.  The README names the layers
+that are missing.
 """
 
 from __future__ import annotations
@@ -79,13 +80,33 @@ class _Tables(HTMLParser):
             self._cell = None
 
 
-_PROSE = re.compile(CORE)
-_CELL = re.compile(r"^\s*[*_`]*([-−]?\d+(?:[.,]\d+)*)\s*(%)?\s*(ns|us|µs|ms|s|min|kb|mb|gb)?\s*[*_`]*(?:\s*(?:±|\+/-).*)?$", re.I)
-_DURATIONS = {"ns": 1e-9, "us": 1e-6, "µs": 1e-6, "ms": 1e-3, "s": 1.0, "min": 60.0}
+_DIGITS = r"[-−]?\d+(?:[.,]\d+)*(?:e[-+−]?\d+)?"
+_TIME = r"nanoseconds?|ns|microseconds?|us|µs|μs|milliseconds?|msec|ms|seconds?|secs?|s|minutes?|mins?|hours?|h"
+_DURATIONS = {"n": 1e-9, "u": 1e-6, "µ": 1e-6, "μ": 1e-6, "mic": 1e-6, "ms": 1e-3, "mil": 1e-3, "s": 1.0, "m": 60.0, "h": 3600.0}
+_MEMORY = {"kb": 1 / 1024, "kib": 1 / 1024, "mb": 1.0, "mib": 1.0, "gb": 1024.0, "gib": 1024.0}
+_COUNT = r"(?<![\w.,])([1-9]\d{0,2}(?:,\d{3})+|[1-9]\d*)"
+_PROSE = re.compile(rf"(?i)\b({N.PATTERN}){_SEPARATOR}({_DIGITS})\s*(?:(%)|({_TIME})\b)?")
+_CELL = re.compile(rf"^\s*[*_`]*({_DIGITS})\s*(%)?\s*({_TIME}|kb|mb|gb)?\s*[*_`]*(?:\s*(?:±|\+/-).*)?$", re.I)
+_COCO = re.compile(rf"(?i)Average\s+(Precision|Recall)\s+\((?:AP|AR)\)\s+@\[\s*IoU=([0-9.:]+)\s*\|\s*area=\s*(\w+)\s*\|[^]]*\]\s*=\s*({_DIGITS})")
+_DURATION = re.compile(rf"(?i)(?:processing\s+time\s*[:=]|complet(?:e|ed|ing)(?:\s+the\s+(?:test|run))?\s+in)\s*({_DIGITS})\s*({_TIME}|m)\b")
+_SPEEDUP = re.compile(rf"(?i)({_DIGITS})\s*(?:[x×]\s+faster\b|(%)?\s+speedup\b)")
+_SPEEDUP_RANGE = re.compile(rf"(?i)\bbeats?\b[^\n]*?\bby\s+({_DIGITS})\s*[–—-]\s*({_DIGITS})\s*%")
+_MEMORY_CHANGE = re.compile(rf"(?i)\b(?:cuts?|reduces?)\s+(?:resident\s+)?memory\b[^\n]*?\bto\s+(?:about|around|~)?\s*({_DIGITS})\s*(kb|mb|gb)\b[^\n]*?\bfrom\s+(?:about|around|~)?\s*({_DIGITS})\s*(kb|mb|gb)\b")
+_VRAM = re.compile(rf"(?i)(?:peak(?:\s+(?:GPU|device))?\s+(?:memory|VRAM)|peak\s+of)\D{{0,24}}?({_DIGITS})\s*(kb|mb|gb)\s+(?:GPU\s+)?VRAM\b")
+_TESTS = re.compile(rf"{_COUNT}\s+(?:(Python|TypeScript)(?:\s+[Tt]ests)?|(?:(?:passing|successful)\s+)?(?:unit\s+)?[Tt]ests)\b")
+_PASSED = re.compile(rf"(?i){_COUNT}\s+passed\b[^\n]{{0,40}}\b(?:skipped|failed)\b")
+_RANKED = re.compile(rf"(?i)(?<!\w)(map|mar|mrr|mndcg|ndcg|precision|recall)\s*@\s*([1-9]\d*)(?:\s*(?:=|:)\s*|\s+)({_DIGITS})\s*(%)?")
+
+
+def _seconds(unit: str) -> float:
+    u = unit.lower()
+    return _DURATIONS.get(u[:3]) or _DURATIONS.get(u[:2]) or _DURATIONS[u[0]]
 
 
 def number(raw: str) -> float:
-    raw = raw.replace("−", "-")
+    raw, e, power = raw.replace("−", "-").lower().partition("e")
+    if e:
+        return float(f"{number(raw)!r}e{power}")
     if re.fullmatch(r"-?[1-9]\d{0,2}(,\d{3})+(\.\d+)?", raw):
         return float(raw.replace(",", ""))
     raw = raw.replace(",", ".")
@@ -101,8 +122,8 @@ def _cell(metric: str, cell: str) -> float | None:
     if not m:
         return None
     value = number(m[1])
-    if m[3] and m[3].lower() in _DURATIONS and metric.endswith("_seconds"):
-        value *= _DURATIONS[m[3].lower()]
+    if m[3] and m[3].lower() not in _MEMORY and metric.endswith("_seconds"):
+        value *= _seconds(m[3])
     return _share(metric, value, bool(m[2]))
 
 
@@ -129,6 +150,37 @@ def _split(line: str) -> list[str] | None:
     return cells if len(cells) >= 2 else None
 
 
+def _prose(body: str) -> Iterator[tuple[str, float, dict]]:
+    """(metric, value, context) of a line outside tables."""
+    if m := _COCO.search(body):
+        if m[3].lower() == "all":
+            yield ("ar" if m[1].lower() == "recall" else {"0.50:0.95": "map50_95", "0.50": "map50", "0.75": "map75"}.get(m[2], "ap")), number(m[4]), {}
+        return
+    for m in _DURATION.finditer(body):
+        yield "runtime_seconds", number(m[1]) * _seconds(m[2]), {}
+    for m in _SPEEDUP.finditer(body):
+        yield "speedup", number(m[1]) / (100 if m[2] else 1), {}
+    for m in _SPEEDUP_RANGE.finditer(body):
+        yield "speedup_range_low", number(m[1].lstrip("-−")) / 100, {}
+        yield "speedup_range_high", number(m[2].lstrip("-−")) / 100, {}
+    for m in _MEMORY_CHANGE.finditer(body):
+        yield "memory_mb", number(m[1]) * _MEMORY[m[2].lower()], {"state": "after"}
+        yield "memory_mb", number(m[3]) * _MEMORY[m[4].lower()], {"state": "before"}
+    for m in _VRAM.finditer(body):
+        yield "memory_mb", number(m[1]) * _MEMORY[m[2].lower()], {}
+    for m in _TESTS.finditer(body):
+        yield "test_count", number(m[1]), {"scope": m[2] or "total"}
+    for m in _PASSED.finditer(body):
+        yield "test_count", number(m[1]), {"scope": "total"}
+    for m in _RANKED.finditer(body):
+        value = number(m[3])
+        yield f"{m[1].lower()}_{m[2]}", value / 100 if m[4] or 1 < abs(value) <= 100 else value, {}
+    for m in _PROSE.finditer(body):
+        metric = N.canonical(m[1])
+        value = number(m[2]) * (_seconds(m[4]) if m[4] and metric.endswith("_seconds") else 1)
+        yield metric, _share(metric, value, bool(m[3])), {}
+
+
 def claims(text: str) -> list[tuple]:
     """(line, metric, value, raw_text, context) of all layers, by line."""
     out: list[tuple] = []
@@ -169,12 +221,10 @@ def claims(text: str) -> list[tuple]:
     for k, body in enumerate(lines):
         if k in used:
             continue
-        for m in _PROSE.finditer(body):
-            metric = N.canonical(m[1])
-            value = _share(metric, number(m[2]), bool(m[3]))
+        for metric, value, context in _prose(body):
             if value == value and (k, metric, value) not in seen:
                 seen.add((k, metric, value))
-                out.append((k + 1, metric, value, body.strip(), {}))
+                out.append((k + 1, metric, value, body.strip(), context))
     return sorted(out, key=lambda c: c[0])
 
 

@@ -31,7 +31,7 @@ def claim_inline_core(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claim_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole grammar; on these reports it finds what the core grammar finds."""
+    """All layers of extract(); on these reports it finds what the core grammar finds."""
     return C.extract(_reports(spark, sf_dir), "p_partkey", "text").select("p_partkey", "line", "metric", "value")
 
 
