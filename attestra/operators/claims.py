@@ -210,13 +210,22 @@ def claims(text: str) -> list[tuple]:
             i = j
         else:
             i += 1
-    tabbed = [k for k, x in enumerate(lines) if k not in used and x.count("\t") >= 1]
-    if len(tabbed) > 1 and tabbed == list(range(tabbed[0], tabbed[0] + len(tabbed))):
-        header = lines[tabbed[0]].split("\t")
-        body = [(k + 1, lines[k].split("\t"), lines[k]) for k in tabbed[1:] if len(lines[k].split("\t")) == len(header)]
-        if any(N.family(h) for h in header):
-            used |= set(tabbed)
-            out += _table(header, body)
+    i = 0
+    while i < len(lines):
+        header = lines[i].split("\t")
+        if i in used or len(header) < 2 or not any(N.family(h) for h in header):
+            i += 1
+            continue
+        j = i + 1
+        while j < len(lines) and j not in used and len(cells := lines[j].split("\t")) == len(header):
+            if any(N.family(h) and N.family(c) and not re.search(r"\d", c.split()[-1]) for h, c in zip(header, cells)):
+                break  # the header of another table
+            j += 1
+        found = list(_table(header, [(k + 1, lines[k].split("\t"), lines[k]) for k in range(i + 1, j)]))
+        if found:
+            used |= set(range(i, j))
+            out += found
+        i = j if found else i + 1
     seen = set()
     for k, body in enumerate(lines):
         if k in used:

@@ -33,3 +33,13 @@ def found(text):
 )
 def test_units_exponents_and_prose_layers(text, want):
     assert found(text) == want
+
+
+def test_each_run_of_tabbed_lines_is_a_table():
+    text = "a\tstray tab\n\nmodel\trmse\nA\t1.5\nB\t2\n\nprose\nmodel\tmae\tf1\nC\t3\t0.5\n"
+    assert [(line, m, v, c) for line, m, v, _, c in claims.claims(text)] == [(4, "rmse", 1.5, {"model": "A"}), (5, "rmse", 2.0, {"model": "B"}), (9, "mae", 3.0, {"model": "C"}), (9, "f1", 0.5, {"model": "C"})]
+
+
+def test_a_table_follows_a_title_or_another_table_directly():
+    assert [(m, v) for _, m, v, _, _ in claims.claims("Results\tof May\tall\nmodel\trmse\nA\t1.5\nmodel\tmae\tf1\nC\t3\t0.5")] == [("rmse", 1.5), ("mae", 3.0), ("f1", 0.5)]
+    assert [(m, v) for _, m, v, _, _ in claims.claims("model\trmse\nA\t1.5\nmodel\tmae\nB\t3")] == [("rmse", 1.5), ("mae", 3.0)]
