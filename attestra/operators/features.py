@@ -47,7 +47,7 @@ def predict(vectors: DataFrame, coefficients: DataFrame, intercept: float, key:
     return z.select(key, sigmoid(F.col("z") + intercept).alias("probability"))
 
 
-def train_logistic(vectors: DataFrame, labels: DataFrame, key: str, epochs: int = 20, rate: float = 0.8, l2: float = 0.001) -> tuple[list[tuple[str, float]], float]:
+def train_logistic(vectors: DataFrame, labels: DataFrame, key: str, epochs: int = 200, rate: float = 0.8, l2: float = 0.001) -> tuple[list[tuple[str, float]], float]:
     """Coefficients and intercept by full-batch gradient descent; each step is one aggregation, and only gradients reach the driver.
 
     The number of features is bounded by what idf() keeps.

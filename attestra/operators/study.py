@@ -53,7 +53,7 @@ def draw(seed: int, sample: Column, slot: Column, n: Column) -> Column:
     return F.pmod(h, n)
 
 
-def cluster_bootstrap(df: DataFrame, cluster: str, values: dict[str, Column], statistic: Column, samples: int = 200, seed: int = 20260821) -> DataFrame:
+def cluster_bootstrap(df: DataFrame, cluster: str, values: dict[str, Column], statistic: Column, samples: int = 1000, seed: int = 20260821) -> DataFrame:
     """(sample, statistic) of ``samples`` draws of clusters with replacement.
 
     Rows are first summed by cluster (``values``), so a draw costs one row a cluster;

@@ -46,16 +46,26 @@ def kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.kappa(scored_labels(spark, sf_dir), F.col("y_true") == 1, F.col("y_pred") == 1)
 
 
-def owner_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _owner_draws(spark: SparkSession, sf_dir: str, samples: int) -> DataFrame:
     p = scored_labels(spark, sf_dir)
     values = {"hits": (F.col("y_true") == F.col("y_pred")).cast("bigint"), "n": F.lit(1).cast("bigint")}
-    return S.cluster_bootstrap(p, "source", values, F.col("hits") / F.col("n"))
+    return S.cluster_bootstrap(p, "source", values, F.col("hits") / F.col("n"), samples)
+
+
+def owner_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of 200 draws, as in its SQL."""
+    return _owner_draws(spark, sf_dir, 200)
 
 
 def owner_bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.interval(owner_bootstrap(spark, sf_dir))
 
 
+def owner_bootstrap_interval_1000(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the reference's 1,000 draws."""
+    return S.interval(_owner_draws(spark, sf_dir, 1000))
+
+
 def calibration_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.calibration_bins(scored_labels(spark, sf_dir), "y_score", F.col("y_true") == 1)
 
@@ -113,7 +123,7 @@ a AS (SELECT l_orderkey, l_returnflag AS m, CASE WHEN l_linenumber = 2 THEN l_qu
 f AS (SELECT l_orderkey, coalesce(e, 0) AS e, coalesce(a, 0) AS a FROM e FULL JOIN a USING (l_orderkey, m, v)),
 r AS (SELECT l_orderkey, sum(least(e, a))::BIGINT AS tp, sum(a - least(e, a))::BIGINT AS fp, sum(e - least(e, a))::BIGINT AS fn FROM f GROUP BY 1)"""
 
-QUERIES = {f.__name__: f for f in (arm_confusion, arm_scores, mcnemar_counts, mcnemar_p, holm_adjust, kappa, owner_bootstrap, owner_bootstrap_interval, calibration_bins, ece, average_precision_rows, risk_coverage, calibration_pick, subgroups, selective_action, greedy_claim_match, claim_match_micro, best_threshold)}
+QUERIES = {f.__name__: f for f in (arm_confusion, arm_scores, mcnemar_counts, mcnemar_p, holm_adjust, kappa, owner_bootstrap, owner_bootstrap_interval, owner_bootstrap_interval_1000, calibration_bins, ece, average_precision_rows, risk_coverage, calibration_pick, subgroups, selective_action, greedy_claim_match, claim_match_micro, best_threshold)}
 ORACLE = {
     "arm_confusion": f"WITH {_ARMS} SELECT gold, count_if(arm_a = 'contradicted') AS contradicted, count_if(arm_a = 'supported') AS supported, count_if(arm_a = 'unknown') AS unknown FROM a GROUP BY gold",
     "arm_scores": f"""WITH {_ARMS}, c AS (SELECT gold AS c FROM a UNION SELECT arm_a FROM a), k AS (SELECT c, count_if(gold = c) AS s, count_if(arm_a = c) AS q, count_if(gold = c AND arm_a = c) AS t FROM a, c GROUP BY c)

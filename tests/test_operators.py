@@ -338,3 +338,11 @@ def test_text_features_are_of_whole_documents(spark, tmp_path):
         w = {f: (1 + math.log(n)) * idf[f] for f, n in b.items() if f in idf}
         want |= {(i, f): x / math.sqrt(sum(y * y for y in w.values())) for f, x in w.items()}
     assert {(x["doc_id"], x["feature"]): x["weight"] for x in run("tfidf_documents")} == pytest.approx(want)
+
+
+def test_bootstrap_makes_the_reference_s_draws(spark):
+    import inspect
+
+    df = spark.createDataFrame([("a", 1), ("b", 0), ("c", 1)], "k string, v int")
+    assert study.cluster_bootstrap(df, "k", {"v": F.col("v")}, F.col("v")).count() == 1000
+    assert inspect.signature(features.train_logistic).parameters["epochs"].default == 200
