@@ -12,7 +12,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType
+from pyspark.sql.types import DoubleType, StringType
 
 METHODS = ("token_jaccard_v1", "hybrid_lexical_v1", "ordered_tokens_v1")
 NUMBER = r"[-+−]?\d[\d,]*(?:\.\d+)?%?"
@@ -89,19 +89,10 @@ def ordered_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, list(a), list(b), autojunk=False).ratio() for a, b in zip(left, right, strict=True)])
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def occurrences(sequences: pd.Series) -> pd.Series:
+def occurrences(sequence: Column) -> Column:
     """Tokens with their running number, so that a multiset is a set: the k-th a is a, k."""
-
-    def number(seq):
-        seen: dict[str, int] = {}
-        out = []
-        for x in seq:
-            seen[x] = seen.get(x, 0) + 1
-            out.append(f"{x}\x01{seen[x]}")
-        return out
-
-    return sequences.map(number, na_action="ignore")
+    numbered = lambda t: F.transform(F.sequence(F.lit(1), t["n"].cast("int")), lambda k: F.concat_ws("\x01", t["feature"], k))
+    return F.coalesce(F.flatten(F.transform(tally(sequence), numbered)), F.array().cast("array<string>"))
 
 
 def fingerprint(columns: list[str]) -> Column:
