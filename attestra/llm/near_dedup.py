@@ -14,6 +14,9 @@ Nothing is capped: within a bucket each text is first compared with the bucket's
 least id, and only pairs whose two texts are not yet in one component are compared
 after that.  Pairs left out by this are connected already, so the groups are the
 same as if every pair in every bucket had been compared.
+
+A bucket, or a group of copies, may hold a third of all texts: its rows are spread over
+tasks (skew.py), and the pairs of a large bucket are formed block by block.
 """
 
 from __future__ import annotations
@@ -22,18 +25,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.llm import kernels as K
 from attestra.llm.graph import components
-from attestra.llm.tables import documents_only, kept, table
+from attestra.llm.skew import hot_keys, sample, with_groups
+from attestra.llm.tables import documents_only, free_name, kept, release, table
 
 SHINGLE = 3
 THRESHOLD = 0.5
 BANDS = 56
 ROWS = 4
 SEED = 7
+#: Texts of a bucket whose pairs are formed by one task.
+BLOCK = 1024
 _FULL = np.iinfo(np.uint64).max
 
 
@@ -115,6 +121,20 @@ def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return joined.filter(fits).filter(both >= F.lit(threshold) * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
+def _pairs(mixed: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Distinct (a, b) of two texts of one bucket in different components, from (key, doc_id, root).
+
+    A bucket is cut into blocks of about BLOCK texts, and each two blocks meet in a task of their own.
+    """
+    counted = with_groups(mixed, ["key"], hot, m=F.count("*")).withColumn("blocks", F.ceil(F.col("m") / F.lit(BLOCK)).cast("bigint"))
+    block = counted.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    other = block.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    placed = other.select("key", "doc_id", "root", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    x, y = placed.alias("x"), placed.alias("y")
+    met = x.join(y, F.expr("x.key = y.key and x.p = y.p and x.q = y.q and x.doc_id < y.doc_id and x.root <> y.root and (x.p = x.q or x.block <> y.block)"))
+    return met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, group_id, keep) of every document that has a near or exact copy.
 
@@ -133,13 +153,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
     sk = kept(src.mapInArrow(_sketches(shingle, bands, rows), _SKETCH_TYPE), "sketches")
 
     # exact copies: tied to the least id with the same words, and searched as one
-    same = sk.select("doc_id", "h1", "h2").withColumn("a", F.min("doc_id").over(Window.partitionBy("h1", "h2")))
-    exact = same.filter("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    first = sk.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id")).select("h1", "h2", "doc_id")
-    single = sk.join(first, ["h1", "h2", "doc_id"], "left_semi").select("doc_id", F.explode("bands").alias("key"))
-
-    by = Window.partitionBy("key")
-    met = single.withColumn("leader", F.min("doc_id").over(by)).withColumn("last", F.max("doc_id").over(by)).filter("leader < last").select("key", "doc_id", "leader").distinct()
+    prints = sk.select("doc_id", "h1", "h2")
+    same = with_groups(prints, ["h1", "h2"], hot_keys(sample(prints), ["h1", "h2"]), a=F.min("doc_id"))
+    copies = kept(same.filter("a < doc_id").distinct(), "copies")
+    banded = lambda s: s.join(copies.select("doc_id", "h1", "h2"), ["doc_id", "h1", "h2"], "left_anti").select("doc_id", F.explode("bands").alias("key"))
+    single = banded(sk)
+
+    hot = hot_keys(banded(sample(sk)), ["key"])
+    met = with_groups(single, ["key"], hot, leader=F.min("doc_id"), last=F.max("doc_id")).filter("leader < last").select("key", "doc_id", "leader").distinct()
     met = kept(met, "buckets")
     sets = src.join(met.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id bigint, shingles array<bigint>")
     sets = kept(sets, "sets")
@@ -150,19 +171,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
 
     # what is left: pairs in one bucket that are in different components and don't include its leader, who has met all
     marked = met.join(roots, met["doc_id"] == roots["node"], "left").select("key", "doc_id", "leader", F.coalesce("root", "doc_id").alias("root"))
-    mixed = marked.withColumn("r1", F.min("root").over(by)).withColumn("r2", F.max("root").over(by)).filter("r1 < r2 and doc_id <> leader").select("key", "doc_id", "root")
-    x, y = mixed.alias("x"), mixed.alias("y")
-    rest = x.join(y, F.expr("x.key = y.key and x.doc_id < y.doc_id and x.root <> y.root")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    more = _similar(rest, sets, threshold)
+    mixed = with_groups(marked, ["key"], hot, r1=F.min("root"), r2=F.max("root")).filter("r1 < r2 and doc_id <> leader").select("key", "doc_id", "root")
+    more = kept(_similar(_pairs(mixed, hot), sets, threshold), "links")
 
+    exact = copies.select("a", F.col("doc_id").alias("b"))
     groups = components(links.unionByName(exact).unionByName(more).distinct())
+    for done in (sk, copies, met, sets, links, more):
+        release(done)
     return groups.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"), (F.col("node") == F.col("root")).alias("keep"))
 
 
 def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of docs but for documents that near_duplicates() doesn't keep; all columns, rows with a null doc_id included."""
-    gone = near_duplicates(docs, **parameters).filter("not keep").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    name = free_name("gone", docs)
+    gone = near_duplicates(docs, **parameters).filter("not keep").select(F.col("doc_id").alias(name))
+    return docs.join(gone, F.col("`doc_id`") == F.col(f"`{name}`"), "left_anti")
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

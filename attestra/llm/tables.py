@@ -3,8 +3,8 @@
 Intermediate results that are used more than once, or that end a long lineage,
 are written as Parquet below the folder that the session names in
 ``spark.checkpoint.dir``, which all executors share.  They survive the loss of any
-executor.  Only where the setting is absent (tests on one machine) is a local
-folder made for it.
+executor.  Only where the setting is absent, and the session is one machine's, is a
+folder made on it.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+_OWN: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,8 +30,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="attestra-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _OWN.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="attestra-")
+        _OWN[spark.sparkContext.applicationId] = base
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
@@ -52,6 +53,14 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(name: str, *tables: DataFrame) -> str:
+    """name, with underscores before it until no column of the tables is called so, in capitals or not."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def release(df: DataFrame) -> None:
     """Delete what kept() wrote, once nothing will read it any more."""
     for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
