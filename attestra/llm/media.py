@@ -49,13 +49,17 @@ def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int,
 
 
 def _leaves(data: memoryview, start: int, end: int) -> dict[bytes, list[tuple[int, int]]]:
+    """The boxes between start and end that hold no others, by type, however deep they lie."""
     found: dict[bytes, list[tuple[int, int]]] = {}
-    for kind, a, b in boxes(data, start, end):
-        if kind in _NESTED:
-            for k, v in _leaves(data, a, b).items():
-                found.setdefault(k, []).extend(v)
+    open_ = [boxes(data, start, end)]
+    while open_:
+        box = next(open_[-1], None)
+        if box is None:
+            open_.pop()
+        elif box[0] in _NESTED:
+            open_.append(boxes(data, box[1], box[2]))
         else:
-            found.setdefault(kind, []).append((a, b))
+            found.setdefault(box[0], []).append(box[1:])
     return found
 
 
@@ -70,15 +74,19 @@ def _numbers(data: memoryview, at: tuple[int, int], dtype: str, skip: int, width
     return np.frombuffer(data, dtype, n * width, a + skip).astype(np.int64).reshape(n, width)
 
 
-def _sizes(data: memoryview, t: dict) -> np.ndarray:
+def _sizes(data: memoryview, t: dict) -> tuple[int, np.ndarray | int]:
+    """How many samples there are, and their sizes: an array, or the one size of all."""
     if b"stsz" in t:
         a, b = t[b"stsz"][0]
         if b - a < 12:
             raise Malformed("a sample table is cut short")
         fixed, n = struct.unpack_from(">II", data, a + 4)
         if fixed:
-            return np.full(n, fixed, np.int64)
-        return _numbers(data, (a, b), ">u4", 12, 1, 8)[:, 0]
+            if n * fixed > len(data):
+                raise Malformed("the samples are larger than the file")
+            return n, fixed
+        sizes = _numbers(data, (a, b), ">u4", 12, 1, 8)[:, 0]
+        return len(sizes), sizes
     if b"stz2" in t:
         a, b = t[b"stz2"][0]
         if b - a < 12:
@@ -88,14 +96,22 @@ def _sizes(data: memoryview, t: dict) -> np.ndarray:
             raise Malformed("a compact sample table is cut short")
         if bits == 4:
             raw = np.frombuffer(data, np.uint8, (n + 1) // 2, a + 12)
-            return np.stack([raw >> 4, raw & 15], 1).ravel()[:n].astype(np.int64)
-        return np.frombuffer(data, f">u{bits // 8}", n, a + 12).astype(np.int64)
-    return np.zeros(0, np.int64)
+            return n, np.stack([raw >> 4, raw & 15], 1).ravel()[:n].astype(np.int64)
+        return n, np.frombuffer(data, f">u{bits // 8}", n, a + 12).astype(np.int64)
+    return 0, 0
+
+
+def _total(runs: np.ndarray) -> int:
+    """The sum of the products of two numbers under 2**32 each, however many."""
+    products = runs[:, 0].astype(np.uint64) * runs[:, 1].astype(np.uint64)
+    high, low = products >> np.uint64(32), products & np.uint64(0xFFFFFFFF)
+    return (int(high.sum()) << 32) + int(low.sum())
 
 
 def _track(data: memoryview, start: int, end: int, number: int) -> dict:
     t = _leaves(data, start, end)
-    out = {"track": number, "kind": None, "codec": None, "duration": None, "samples": 0, "keyframes": []}
+    none = np.zeros(0, np.int64)
+    out = {"track": number, "kind": None, "codec": None, "duration": None, "samples": 0, "keyframes": (none, none)}
     if b"tkhd" in t:
         a, b = t[b"tkhd"][0]
         at = 20 if data[a] == 1 else 12
@@ -120,11 +136,10 @@ def _track(data: memoryview, start: int, end: int, number: int) -> dict:
         if b"stts" in t:
             runs = _numbers(data, t[b"stts"][0], ">u4", 8, 2)
             if len(runs):
-                length, unknown = int((runs[:, 0] * runs[:, 1]).sum()), False
+                length, unknown = _total(runs), False
         if scale and not unknown:
             out["duration"] = length / scale
-    sizes = _sizes(data, t)
-    n = len(sizes)
+    n, sizes = _sizes(data, t)
     out["samples"] = n
     if not n:
         return out
@@ -143,23 +158,27 @@ def _track(data: memoryview, start: int, end: int, number: int) -> dict:
     if per.sum() != n:
         raise Malformed("the chunk map and the sample count differ")
     first = np.cumsum(per) - per
-    before = np.cumsum(sizes) - sizes
-    chunk = np.repeat(np.arange(len(chunks)), per)
-    starts = chunks[chunk] + before - before[np.minimum(first, n - 1)][chunk]
     keys = np.arange(n)
     if b"stss" in t:
         keys = _numbers(data, t[b"stss"][0], ">u4", 8)[:, 0] - 1
         if len(keys) and (keys.min() < 0 or keys.max() >= n):
             raise Malformed("a keyframe has no sample")
-    ends = starts + sizes
-    if len(keys) and (starts[keys].min() < 0 or ends[keys].max() > len(data)):
+    # a sample lies behind those before it in its chunk; empty chunks hold none
+    chunk = np.searchsorted(first, keys, "right") - 1
+    if isinstance(sizes, int):
+        starts = chunks[chunk] + (keys - first[chunk]) * sizes
+        ends = starts + sizes
+    else:
+        before = np.cumsum(sizes) - sizes
+        starts = chunks[chunk] + before[keys] - before[first[chunk]]
+        ends = starts + sizes[keys]
+    if len(keys) and (starts.min() < 0 or ends.max() > len(data)):
         raise Malformed("a keyframe lies outside the file")
-    out["keyframes"] = [{"first_byte": int(a), "end_byte": int(b)} for a, b in zip(starts[keys], ends[keys], strict=True)]
+    out["keyframes"] = starts, ends
     return out
 
 
-def describe(content: bytes | memoryview | None) -> tuple[list[dict] | None, str | None]:
-    """(tracks, error) of one file: the tracks of its moov box, or none and what is wrong.  Null has neither."""
+def _tracks(content: bytes | memoryview | None) -> tuple[list[dict] | None, str | None]:
     if content is None:
         return None, None
     data = memoryview(content)
@@ -172,12 +191,33 @@ def describe(content: bytes | memoryview | None) -> tuple[list[dict] | None, str
         if not any_moov:
             raise Malformed("no moov box")
         return tracks, None
-    except (Malformed, struct.error, IndexError) as e:
+    except (ValueError, struct.error, IndexError, OverflowError) as e:
         return None, str(e)
 
 
+def describe(content: bytes | memoryview | None) -> tuple[list[dict] | None, str | None]:
+    """(tracks, error) of one file: the tracks of its moov box, or none and what is wrong.  Null has neither."""
+    tracks, error = _tracks(content)
+    ranges = lambda k: [{"first_byte": a, "end_byte": b} for a, b in zip(k[0].tolist(), k[1].tolist(), strict=True)]
+    return None if tracks is None else [t | {"keyframes": ranges(t["keyframes"])} for t in tracks], error
+
+
+def _column(files: list[list[dict] | None]) -> pa.Array:
+    """The column of tracks; keyframes go from arrays to Arrow as they are."""
+    flat = [t for f in files for t in f or []]
+    keys = [t["keyframes"] for t in flat]
+    at = np.cumsum([0, *(len(k[0]) for k in keys)])
+    join = lambda i: pa.array(np.concatenate([np.zeros(0, np.int64), *(k[i] for k in keys)]))
+    frames = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([join(0), join(1)], ["first_byte", "end_byte"]))
+    kinds = (("track", pa.int64()), ("kind", pa.string()), ("codec", pa.string()), ("duration", pa.float64()), ("samples", pa.int64()))
+    tracks = pa.StructArray.from_arrays([*(pa.array([t[c] for t in flat], k) for c, k in kinds), frames], [*(c for c, _ in kinds), "keyframes"])
+    ends = np.cumsum([0, *(len(f or []) for f in files)])
+    # an offset that is null makes its entry null
+    offsets = pa.array([None if i < len(files) and files[i] is None else int(x) for i, x in enumerate(ends)], pa.int32())
+    return pa.ListArray.from_arrays(offsets, tracks)
+
+
 TRACKS = "array<struct<track:bigint,kind:string,codec:string,duration:double,samples:bigint,keyframes:array<struct<first_byte:bigint,end_byte:bigint>>>>"
-_ARROW = pa.list_(pa.struct([("track", pa.int64()), ("kind", pa.string()), ("codec", pa.string()), ("duration", pa.float64()), ("samples", pa.int64()), ("keyframes", pa.list_(pa.struct([("first_byte", pa.int64()), ("end_byte", pa.int64())])))]))
 
 
 def media_columns(files: DataFrame, key: str, content: str = "content") -> DataFrame:
@@ -187,8 +227,10 @@ def media_columns(files: DataFrame, key: str, content: str = "content") -> DataF
     in seconds, sample count and the byte range [first_byte, end_byte) of each keyframe, in
     the order of samples.  Where a track has no table of keyframes, all samples are.
 
-    Defined cases: null content gives null tracks and no error; empty, cut or foreign bytes
-    give null tracks and an error that says why, never a failed job; a file with no tracks
+    Defined cases: null content gives null tracks and no error; empty, cut or foreign bytes,
+    tables that promise more samples than the file has bytes and keyframes outside the file
+    give null tracks and an error that says why, never a failed job; boxes may be nested to
+    any depth, and sums of durations don't overflow; a file with no tracks
     gives an empty list; durations that the file calls unknown are null; fragments outside
     moov are not read; repeated rows give a row each; an empty table gives no rows; other
     columns are ignored.
@@ -197,8 +239,8 @@ def media_columns(files: DataFrame, key: str, content: str = "content") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in byte_slices(batches, "content", _SLICE_BYTES):
-            found = [describe(None if not x.is_valid else x.as_buffer()) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t for t, _ in found], _ARROW), pa.array([e for _, e in found], pa.string())], [key, "tracks", "error"])
+            found = [_tracks(None if not x.is_valid else x.as_buffer()) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), _column([t for t, _ in found]), pa.array([e for _, e in found], pa.string())], [key, "tracks", "error"])
 
     return src.mapInArrow(run, f"`{key}` {src.schema[0].dataType.simpleString()}, tracks {TRACKS}, error string")
 
