@@ -134,7 +134,7 @@ def _describe(texts: pa.Array) -> list[pa.Array]:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The fingerprint of every text, and the longest passage that it repeats from the start of a line.
+    """The fingerprint of every text, and the longest passage that a repeated line begins, against the line's first occurrence.
 
     A row of docs gives (doc_id, n_chars, fingerprint_a, fingerprint_b, n_lines, repeat_length,
     repeat_at, repeat_of): code points, two 62-bit halves of the fingerprint, lines that aren't

@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.llm.kernels import byte_slices, mix64
-from attestra.llm.tables import documents_only, table
+from attestra.llm.tables import documents_only, free_name, table
 
 ORDERS = (1, 2, 3)
 BITS = 16
-#: At most so many labelled rows of each language are used for training; those with the least hash of their doc_id.
-SAMPLE = 1500
+#: At most so many labelled rows of each language, and so many in all, are used for training: those with the least hashes of doc_id and text.
+SAMPLE, SAMPLE_ALL = 1500, 30_000
 MIN_CONFIDENCE = 0.5
 _SLICE_BYTES = 1 << 18
 _SCALE = 100.0
@@ -169,24 +169,30 @@ def temperature(z: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS, doc_id: str = "doc_id", text: str = "text", label: str = "lang") -> Model:
+def train(docs: DataFrame, sample: int = SAMPLE, sample_all: int = SAMPLE_ALL, bits: int = BITS, doc_id: str = "doc_id", text: str = "text", label: str = "lang") -> Model:
     """A model of the languages in ``label``.
 
     The idf is counted over all documents.  Weights and temperature are fitted on at most
-    ``sample`` labelled rows of each language (a fifth of them, held out, for the
-    temperature): those with the least hash of doc_id, whole texts.  Rows with a null label
-    or without letters are not used; a table without usable rows gives a model of no languages.
+    ``sample`` labelled rows of each language, and about ``sample_all`` in all, shared evenly
+    (a fifth of them, held out, for the temperature): those with the least hashes of doc_id
+    and text, whole texts.  Equal rows count once.  Rows with a null label or doc_id, or
+    without letters, are not used; a table without usable rows gives a model of no languages.
     """
     df, total = document_frequencies(docs, text, bits)
     idf = np.log((1.0 + total) / (1.0 + df))
-    src = documents_only(docs, *dict.fromkeys([doc_id, text, label])).select(F.xxhash64(F.col(f"`{doc_id}`")).alias("h"), F.col(f"`{doc_id}`").cast("string").alias("i"), F.col(f"`{label}`").cast("string").alias("label"), F.col(f"`{text}`").cast("string").alias("text")).filter("label is not null")
+    id_, body = F.col(f"`{doc_id}`"), F.col(f"`{text}`").cast("string")
+    src = documents_only(docs, *dict.fromkeys([doc_id, text, label])).filter(id_.isNotNull() & F.col(f"`{label}`").isNotNull())
+    src = src.select(F.xxhash64(id_, body).alias("h"), id_.cast("string").alias("i"), F.col(f"`{label}`").cast("string").alias("label"), body.alias("text"))
     counts = {r["label"]: r["count"] for r in src.groupBy("label").count().collect()}
     languages = sorted(counts)
+    sample = max(1, min(sample, sample_all // max(1, len(languages))))
     # hashes are even, so a cut at 1.1 of the share and a rank among those below it take the least `sample`
     share = F.lit(None).cast("double")
     for name in languages:
         share = F.when(F.col("label") == name, min(1.0, (1.1 * sample + 200) / counts[name])).otherwise(share)
     below = (F.col("h").cast("double") / F.lit(2.0**64) + 0.5) <= share
+    # rows that are equal have one hash, all below the cut or none: they count once
+    chosen = src.filter(below).dropDuplicates(["h", "i", "label"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in byte_slices(batches, "text", _SLICE_BYTES):
@@ -197,8 +203,8 @@ def train(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS, doc_id: str =
 
     rows, labels, seen = [], [], dict.fromkeys(languages, 0)
     if languages:
-        # at most languages x (1.1 x sample + 200) rows, give or take chance; as flat Arrow columns, not Python numbers
-        got = src.filter(below).mapInArrow(run, "h bigint, i string, label string, features array<int>, counts array<int>").toArrow().combine_chunks()
+        # at most languages x (1.1 x sample + 200) rows, give or take chance, of 2**bits features each at most; as flat Arrow columns, not Python numbers
+        got = chosen.mapInArrow(run, "h bigint, i string, label string, features array<int>, counts array<int>").toArrow().combine_chunks()
         keys = list(zip(got.column("h").to_pylist(), got.column("i").to_pylist(), strict=True))
         label = got.column("label").to_pylist()
         flat = []
@@ -207,7 +213,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS, doc_id: str =
             column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
             flat.append((column.offsets.to_numpy(), column.values.to_numpy()))
         (at, features), (_, tally) = flat
-        for r in sorted(range(got.num_rows), key=lambda r: (keys[r][0], keys[r][1] or "")):
+        for r in sorted(range(got.num_rows), key=lambda r: (*keys[r], label[r])):
             f = features[at[r] : at[r + 1]]
             if seen[label[r]] >= sample or not len(f):
                 continue
@@ -290,8 +296,9 @@ def filter_language(docs: DataFrame, min_confidence: float = MIN_CONFIDENCE, sam
                 keep += good.tolist()
             yield pa.StructArray.from_arrays([pa.array(language, pa.string()), pa.array(keep, pa.bool_())], ["language", "keep"])
 
-    scored = docs.withColumn("__language", found.asNondeterministic()(F.col(f"`{text}`").cast("string"))).filter("__language.keep")
-    return scored.select(*[F.col("__language.language").cast(docs.schema[c].dataType).alias(c) if c == label else F.col(f"`{c}`") for c in docs.columns])
+    name = free_name("language", docs)
+    scored = docs.withColumn(name, found.asNondeterministic()(F.col(f"`{text}`").cast("string"))).filter(F.col(f"`{name}`")["keep"])
+    return scored.select(*[F.col(f"`{name}`")["language"].cast(docs.schema[c].dataType).alias(c) if c == label else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.llm import kernels as K
-from attestra.llm.tables import documents_only, table
+from attestra.llm.tables import documents_only, kept, table
 
 #: Share of the pooled covariance in a class's, and of the mean variance in the result.
 TO_POOLED, TO_DIAGONAL = 0.2, 0.02
@@ -154,9 +154,12 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     sum and a sum of products by class.  Labels other than 0 and 1 and null ids are left out;
     a doc_id that is repeated on either side counts for each pair.
     """
-    src = documents_only(docs, doc_id, text).select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).filter("doc_id is not null")
-    marks = documents_only(labels, doc_id, label).select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{label}`").cast("int").alias("label")).filter("label in (0, 1) and doc_id is not null")
-    return _fit(_features(src, ["doc_id"]), marks, to_pooled, to_diagonal)
+    src = _read(docs, doc_id, text).filter("doc_id is not null")
+    return _fit(_features(src, ["doc_id"]), _marks(labels, doc_id, label), to_pooled, to_diagonal)
+
+
+def _marks(labels: DataFrame, doc_id: str, label: str) -> DataFrame:
+    return documents_only(labels, doc_id, label).select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{label}`").cast("int").alias("label")).filter("label in (0, 1) and doc_id is not null")
 
 
 def _fit(features: DataFrame, marks: DataFrame, to_pooled: float, to_diagonal: float) -> Discriminant:
@@ -186,32 +189,45 @@ def _fit(features: DataFrame, marks: DataFrame, to_pooled: float, to_diagonal: f
     return discriminant(n, s, ss, to_pooled, to_diagonal)
 
 
+def _read(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return documents_only(docs, doc_id, text).select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+
+
 def classify(docs: DataFrame, model: Discriminant, threshold: float = 0.0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score, keep) of every row of docs: the log-odds of quality, and whether they reach ``threshold``.
 
     Defined cases: null, empty and blank texts say nothing of quality: their score is null
     and keep is false; so is every score, and keep true for texts with words, if the labels
-    didn't have two documents of either class; rows that repeat a doc_id or have none give a
-    row each; an empty table gives no rows; other columns are ignored.
+    didn't have two documents of either class; a statistic that is the same in all of a class
+    takes part by the pooled variance; rows that repeat a doc_id or have none give a row
+    each; an empty table gives no rows; other columns are ignored.
     """
-    src = documents_only(docs, doc_id, text).select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    shared = src.sparkSession.sparkContext.broadcast(model)  # a few kB, whatever the corpus
+    return _scored(_features(_read(docs, doc_id, text), ["doc_id"]), model, threshold)
+
+
+def _scored(features: DataFrame, model: Discriminant, threshold: float) -> DataFrame:
+    shared = features.sparkSession.sparkContext.broadcast(model)  # a few kB, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in K.byte_slices(batches, "text", _SLICE_BYTES):
-            x = statistics(*K.utf8_parts(part.column(1)))
+        for part in batches:
+            x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
             words = x[:, 0] > 0
             score = np.where(words, shared.value.scores(x), np.nan)
             unknown = np.isnan(score)
             keep = words & (unknown | (score >= threshold))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score, mask=unknown), pa.array(keep)], ["doc_id", "score", "keep"])
 
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, score double, keep boolean")
+    return features.mapInArrow(run, f"doc_id {features.schema['doc_id'].dataType.simpleString()}, score double, keep boolean")
+
+
+def fit_and_classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.0, doc_id: str = "doc_id", text: str = "text", label: str = "quality", to_pooled: float = TO_POOLED, to_diagonal: float = TO_DIAGONAL) -> DataFrame:
+    """classify() of docs by fit() on docs and labels; each text is read once, and its statistics kept for both."""
+    features = kept(_features(_read(docs, doc_id, text), ["doc_id"]), "statistics")
+    return _scored(features, _fit(features.filter("doc_id is not null"), _marks(labels, doc_id, label), to_pooled, to_diagonal), threshold)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return classify(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return fit_and_classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {"op10_quality": op10_quality}

@@ -2,9 +2,10 @@
 
 Groups that must stay together go, largest first, each to the shard that holds least,
 taken from a heap.  Groups of one size are interchangeable for that, so the heap runs
-over the histogram of group sizes on the driver: it grows with the number of distinct
-sizes, not with the corpus.  Each class of equal sizes is filled as a whole, and the
-groups then find their shard by their rank in their class, in parallel.
+over the histogram of group sizes on the driver.  Distinct sizes add up to no more than
+the corpus, so there are at most sqrt(2 x its bytes) of them: 14 million for 100 TB, 16
+bytes each as they reach the driver.  Each class of equal sizes is filled as a whole, and
+the groups then find their shard by their rank in their class, in parallel.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -86,15 +88,17 @@ def shard_groups(groups: DataFrame, shards: int = SHARDS) -> DataFrame:
     cells = cells.withColumn("before", F.sum("n").over(Window.partitionBy("size").orderBy("cell")) - F.col("n"))
     rank = F.row_number().over(Window.partitionBy("size", "cell").orderBy("m", "group_key"))
     ranked = g.withColumn("r", rank).join(cells.select("size", "cell", "before"), ["size", "cell"]).select("group_key", "size", (F.col("before") + F.col("r")).alias("rank"))
-    classes = g.groupBy("size").count().collect()
-    runs = lpt_runs([r["size"] for r in classes], [r["count"] for r in classes], shards)
+    # flat Arrow columns, not rows of Python numbers
+    classes = g.groupBy("size").agg(F.count("*").alias("n")).toArrow().combine_chunks()
+    runs = lpt_runs(classes.column("size").to_pylist(), classes.column("n").to_pylist(), shards)
     if not runs:
         return ranked.select("group_key", "size", F.lit(0).alias("shard"))
-    import pandas as pd
-
-    table_ = spark.createDataFrame(pd.DataFrame(runs, columns=["size", "first", "last", "shard"]), "size bigint, first bigint, last bigint, shard int")
-    # one row a size: its runs in order; a group finds its run among them
-    by_size = table_.groupBy("size").agg(F.sort_array(F.collect_list(F.struct("last", "shard"))).alias("runs"))
+    # one row a size, with its runs in order; a group finds its run among them
+    size, _, last, of = (np.array(c, np.int64) for c in zip(*runs, strict=True))
+    fresh = np.flatnonzero(np.r_[True, size[1:] != size[:-1]])
+    pairs = pa.StructArray.from_arrays([pa.array(last), pa.array(of.astype(np.int32))], ["last", "shard"])
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[fresh, len(size)].astype(np.int32)), pairs)
+    by_size = spark.createDataFrame(pa.table({"size": size[fresh], "runs": lists}))
     found = ranked.join(by_size, "size")
     return found.select("group_key", "size", F.expr("filter(runs, x -> x.last >= rank)[0].shard").alias("shard"))
 

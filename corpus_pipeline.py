@@ -41,7 +41,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, piece, start, words, bin) of every document."""
+    """(doc_id, copy, piece, start, tokens, bin) of every document; mixing's copies are numbered."""
     return pack(docs)
 
 

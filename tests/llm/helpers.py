@@ -10,7 +10,7 @@ import duckdb
 SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: Names that operators use inside, and names that differ from the documents' own only by their use.
-CLASHES = {"key": "int", "group_id": "int", "bands": "string", "copy": "int", "ver": "int", "start": "string", "keep": "string", "rate": "double", "cell": "int", "h1": "int"}
+CLASHES = {"key": "int", "group_id": "int", "bands": "string", "copy": "int", "ver": "int", "start": "string", "keep": "string", "rate": "double", "cell": "int", "h1": "int", "gone": "int", "language": "int", "id": "int", "spans": "int", "md5": "int", "new": "string", "rate_": "int", "source_": "int", "salt": "int", "times": "int", "number": "int", "n": "int", "_gone": "string", "__n": "int", "__spans": "int", "__new": "int", "__language": "int", "__gone": "int", "__mix_times": "int"}
 
 
 def words(text: str | None) -> list[str]:

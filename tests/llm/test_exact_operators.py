@@ -6,21 +6,29 @@ import random
 import numpy as np
 import pytest
 
-from attestra.llm import fingerprints, media, mixing, near_dedup, sharding, substrings
+from attestra.llm import fingerprints, media, mixing, near_dedup, sharding, skew, substrings, tokens
 from tests.llm import helpers as H
 
 
 def test_fingerprints_match_sql_and_handle_every_case(spark):
-    docs = H.awkward(spark).filter("doc_id is null or doc_id not in (4, 5)").distinct()
+    docs = H.awkward(spark)
     lines = "a line\nother\na line\nother\nthe end"
-    docs = docs.unionByName(H.documents(spark, [(20, lines), (21, "x\n" * 40), (22, "\n\n"), (23, "é\né")]))
-    got = {(r["doc_id"], r["n_chars"]): r for r in fingerprints.fingerprints(H.with_clashes(docs)).collect()}
+    # in 24 the second and third b agree equally long with the first, in 25 the third A agrees longer with the second than with the first
+    docs = docs.unionByName(H.documents(spark, [(20, lines), (21, "x\n" * 40), (22, "\n\n"), (23, "é\né"), (24, "b\n1\nb\n2\nb\n3"), (25, "A\nx\nA\ny\nA\ny")]))
+    found = fingerprints.fingerprints(H.with_clashes(docs)).collect()
+    assert len(found) == docs.count()
+    got = {(r["doc_id"], r["n_chars"]): r for r in found}
+    assert (got[(24, 11)]["repeat_length"], got[(24, 11)]["repeat_at"], got[(24, 11)]["repeat_of"]) == (2, 4, 0)
+    assert (got[(25, 11)]["repeat_length"], got[(25, 11)]["repeat_of"]) == (2, 0)
+    longs = [r for r in found if r["doc_id"] in (4, 5)]
+    assert len({tuple(r)[1:] for r in longs}) == 1 and longs[0]["n_lines"] == 1
+    assert len({tuple(r) for r in found if r["doc_id"] == 8}) == 2
     assert got[(20, len(lines))]["repeat_length"] == len("a line\nother\n")
     assert (got[(20, len(lines))]["repeat_at"], got[(20, len(lines))]["repeat_of"]) == (13, 0)
     assert got[(21, 80)]["repeat_length"] == 78
     assert got[(2, 0)]["fingerprint_a"] == 0 and got[(2, 0)]["repeat_at"] is None
     assert got[(1, None)]["fingerprint_a"] is None
-    plain = docs.filter("text is not null and doc_id is not null and doc_id <> 8")
+    plain = docs.filter("text is not null and doc_id is not null and doc_id not in (4, 5, 8)")
     H.same_as_sql(fingerprints.fingerprints(plain), fingerprints._ORACLE, documents=plain)
     assert fingerprints.fingerprints(docs.limit(0)).count() == 0
 
@@ -193,14 +201,17 @@ def test_repeated_spans_match_sql_and_handle_every_case(spark):
     assert substrings.drop_repeats(odd.limit(0)).count() == 0
 
 
+BY_WORDS = {"measure": tokens.word_count}
+
+
 def test_mixing_matches_sql_and_handles_every_case(spark):
     docs = H.awkward(spark).unionByName(H.documents(spark, [(100 + i, H.prose(i, 5 + i % 40), "en", f"s{i % 3}") for i in range(120)]))
-    H.same_as_sql(mixing.mix(docs), mixing._ORACLE, documents=docs)
-    rates = {r["source"]: r["rate"] for r in mixing.repetition_rates(docs, {"s0": 3.0, "s1": 1.0, None: 1.0}, budget=10_000).collect()}
+    H.same_as_sql(mixing.mix(docs, **BY_WORDS), mixing.BY_WORDS, documents=docs)
+    rates = {r["source"]: r["rate"] for r in mixing.repetition_rates(docs, {"s0": 3.0, "s1": 1.0, None: 1.0}, budget=10_000, **BY_WORDS).collect()}
     assert rates["s2"] == 0.0 and rates["a"] == 0.0 and rates[None] > 0
-    tokens = {r["source"]: r["tokens"] for r in mixing.repetition_rates(docs).collect()}
-    assert rates["s0"] * tokens["s0"] == pytest.approx(6000) and rates["s1"] * tokens["s1"] == pytest.approx(2000)
-    out = mixing.mix(H.with_clashes(docs), {"s0": 3.0, "s1": 1.0, None: 1.0}, budget=10_000)
+    counts = {r["source"]: r["tokens"] for r in mixing.repetition_rates(docs, **BY_WORDS).collect()}
+    assert rates["s0"] * counts["s0"] == pytest.approx(6000) and rates["s1"] * counts["s1"] == pytest.approx(2000)
+    out = mixing.mix(H.with_clashes(docs), {"s0": 3.0, "s1": 1.0, None: 1.0}, budget=10_000, **BY_WORDS)
     assert out.columns.count("copy") == 1 and out.filter("source in ('s2', 'a')").count() == 0
     for r in out.groupBy("doc_id").agg({"copy": "max"}).filter("doc_id >= 100").collect():
         rate = rates[f"s{(r['doc_id'] - 100) % 3}"]
@@ -217,6 +228,103 @@ def test_mixing_beyond_the_broadcast_bound_gives_the_same(spark, monkeypatch):
     assert H.rows(mixing.mix(docs), "doc_id", "copy") == want
 
 
+def test_mixing_is_by_tokens(spark):
+    """The whole query by the definition, one document at a time."""
+    import hashlib
+
+    rows = [(i, H.prose(i, 3 + i % 50) + (" 漢字" * (i % 5)), "en", ["a", "b", "b", None, "c"][i % 5]) for i in range(90)] + [(90, None, "en", "a"), (91, "", "en", "empty")]
+    docs = H.documents(spark, rows)
+    count, _ = tokens.counter(f"{tokens.TOKENIZERS}/{tokens.VOCABULARY}")
+    sums = {}
+    for _, t, _, source in rows:
+        sums[source] = sums.get(source, 0) + count([t or ""])[0]
+    share = sum(sums.values()) / sum(n**0.5 for n in sums.values() if n)
+    want = []
+    for d, _, _, source in rows:
+        rate = sums[source] ** 0.5 * share / sums[source] if sums[source] else 1.0
+        draw = int(hashlib.md5(f"{mixing.SEED}|{d}".encode()).hexdigest()[:12], 16) / 2**48
+        want += [(d, k + 1) for k in range(int(rate) + (draw < rate - int(rate)))]
+    assert H.rows(mixing.mix(docs), "doc_id", "copy") == sorted(want)
+
+
+@pytest.fixture()
+def everything_is_hot(monkeypatch):
+    """Keys of three rows and more are hot, and all rows are looked at."""
+    monkeypatch.setattr(skew, "SHARE", 1.0)
+    monkeypatch.setattr(skew, "HOT", 3)
+    from attestra.llm import graph
+
+    monkeypatch.setattr(graph, "HOT", 3)
+
+
+def test_aggregates_of_a_hot_group_are_right_and_its_rows_spread(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(0, 25_000, 1, 8).select("id", F.when(F.col("id") % 5 > 0, F.lit(7)).otherwise(F.col("id")).alias("k"))
+    hot = skew.hot_keys(skew.sample(rows), ["k"])
+    assert [r["k"] for r in hot.collect()] == [7]
+    got = skew.with_groups(rows, ["k"], hot, n=F.count("*"), least=F.min("id"))
+    assert got.count() == 25_000
+    assert {(r["k"], r["n"], r["least"]) for r in got.filter("k in (7, 5, 10)").distinct().collect()} == {(7, 20_000, 1), (5, 1, 5), (10, 1, 10)}
+    most = got.groupBy(F.spark_partition_id().alias("p")).count().agg({"count": "max"}).first()[0]
+    assert most < 10_000
+
+
+def test_near_duplicates_of_hot_groups_are_the_same(spark, monkeypatch, everything_is_hot):
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    base = [H.prose(i, 60) for i in range(12)]
+    rows = [(i, t) for i, t in enumerate(base)] + [(100 + i, base[0]) for i in range(30)] + [(200 + 10 * i + j, _near_copy(t, 31 * i + j, 3)) for i, t in enumerate(base[:6]) for j in range(6)]
+    w = H.prose(7, 300).split()
+    for step in range(8):
+        rows.append((500 + step, " ".join(w)))
+        w[step * 30 : step * 30 + 30] = [f"s{step}x{i}" for i in range(30)]
+    docs = H.documents(spark, rows)
+    H.same_as_sql(near_dedup.near_duplicates(docs), near_dedup._ORACLE, documents=docs)
+
+
+def test_blocks_of_a_bucket_give_each_pair_once_met(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    rows = [(k, 100 * k + i, i % 3) for k in (1, 2) for i in range(17)]
+    mixed = spark.createDataFrame(rows, "key bigint, doc_id bigint, root bigint")
+    want = sorted((a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[2] != b[2])
+    assert H.rows(near_dedup._pairs(mixed, None), "a", "b") == want
+
+
+def test_repeated_spans_of_hot_passages_are_the_same(spark, everything_is_hot):
+    r = random.Random(9)
+    passage = [f"p{i}" for i in range(40)]
+    docs = []
+    for d in range(60):
+        w = [f"u{r.randrange(10**9)}" for _ in range(r.randrange(0, 12))]
+        a = r.randrange(0, 20)
+        docs.append((d, " ".join(w + passage[a : a + r.randrange(8, 30)] + [f"v{r.randrange(3)}"] + passage[:15])))
+    docs += [(100 + d, docs[0][1]) for d in range(20)]
+    got = H.rows(substrings.repeated_spans(H.documents(spark, docs), span=8), "doc_id", "start_word", "end_word", "first")
+    assert got == _brute_repeats(docs, 8)
+
+
+def test_a_text_in_most_rows(spark):
+    """20,000 of 25,000 rows are one text: results are whole, and no task holds all its rows."""
+    from pyspark.sql import functions as F
+
+    text = H.prose(3, 60)
+    docs = spark.range(0, 25_000, 1, 8).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 5 > 0, F.lit(text)).otherwise(F.concat(F.lit("other "), F.expr("array_join(transform(sequence(1, 12), i -> md5(concat(id, ':', i))), ' ')"))).alias("text"))
+    groups = near_dedup.near_duplicates(docs)
+    assert groups.groupBy("group_id").count().collect() == [(1, 20_000)]
+    spans = substrings.repeated_spans(docs)
+    assert spans.groupBy("start_word", "end_word", "first").count().orderBy("first").collect() == [(0, 60, False, 19_999), (0, 60, True, 1)]
+
+
+def test_texts_that_share_an_id_are_numbered_in_the_order_of_their_md5(spark):
+    import hashlib
+
+    docs = H.documents(spark, [(1, H.prose(i, 5)) for i in range(300)] + [(1, H.prose(0, 5)), (2, "x"), (None, "y")])
+    src, again = substrings._versions(docs, "doc_id", "text")
+    want = sorted({H.prose(i, 5) for i in range(300)}, key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    got = {(r["doc_id"], r["ver"]): r["text"] for r in src.collect()}
+    assert again and got == {**{(1, i): t for i, t in enumerate(want)}, (2, 0): "x"}
+
+
 def test_media_round_trip(spark):
     r = random.Random(5)
     video, audio = bytes(r.randrange(256) for _ in range(10_000)), b"sound" * 30
@@ -254,3 +362,38 @@ def test_media_handles_every_case(spark):
     assert by[3][0]["error"] and by[4][0]["error"] and all(by[100 + i][0]["error"] for i in range(len(cut)))
     assert len(by[1]) == 2 and by[None][0]["tracks"][1]["samples"] == 0
     assert media.media_columns(files.limit(0), "id").count() == 0
+
+
+def _track_box(*tables):
+    return media._box(b"moov", media._box(b"trak", media._box(b"mdia", *tables[:-1], media._box(b"minf", media._box(b"stbl", tables[-1])))))
+
+
+def test_no_file_fails_the_job(spark):
+    import struct
+
+    bomb = _track_box(media._full(b"stsz", struct.pack(">II", 8, 2**32 - 1)))
+    deep = b""
+    for _ in range(3000):
+        deep = media._box(b"mdia", deep)
+    stts = media._full(b"stts", struct.pack(">I", 3), struct.pack(">II", 2**32 - 1, 2**32 - 1) * 3)
+    overflow = _track_box(media._full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 1000, 0, 0, 0)), stts)
+    long_file = media.write_container(b"v" * 6_000_000, b"a" * 1_000_000, b"avc1")
+    files = spark.createDataFrame([(1, bomb), (2, media._box(b"moov", media._box(b"trak", deep))), (3, overflow), (4, long_file), (5, None)], "id int, content binary")
+    got = {r["id"]: r for r in media.media_columns(files, "id").collect()}
+    assert got[1]["tracks"] is None and "larger than the file" in got[1]["error"]
+    assert got[2]["error"] is None and got[2]["tracks"][0]["samples"] == 0
+    assert got[3]["tracks"][0]["duration"] == pytest.approx(3 * (2**32 - 1) ** 2 / 1000)
+    video, audio = got[4]["tracks"]
+    assert len(video["keyframes"]) == -(-video["samples"] // 12) and len(audio["keyframes"]) == audio["samples"] == 62_500
+    assert audio["keyframes"][-1]["end_byte"] - video["keyframes"][0]["first_byte"] == 7_000_000
+    assert got[5]["tracks"] is None and got[5]["error"] is None
+
+
+def test_samples_of_one_size_and_empty_chunks():
+    import struct
+
+    tables = media._box(b"stbl", media._full(b"stsz", struct.pack(">II", 7, 5)), media._full(b"stsc", struct.pack(">I", 3), struct.pack(">9I", 1, 2, 1, 2, 0, 1, 3, 3, 1)), media._full(b"stco", struct.pack(">4I", 3, 400, 450, 500)), media._full(b"stss", struct.pack(">4I", 3, 1, 2, 4)))
+    moov = media._box(b"moov", media._box(b"trak", media._box(b"mdia", media._box(b"minf", tables))))
+    (t,), error = media.describe(moov + media._box(b"mdat", b"\0" * 600))
+    assert error is None and t["samples"] == 5
+    assert [k["first_byte"] for k in t["keyframes"]] == [400, 407, 507] and t["keyframes"][0]["end_byte"] == 407

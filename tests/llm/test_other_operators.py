@@ -76,28 +76,73 @@ def test_packing_improves_on_best_fit_somewhere():
     assert better > 0
 
 
+def test_local_search_is_quick_and_ends_at_an_optimum():
+    """Texts of a third to half a bin, where nearly every bin is underfull."""
+    import time
+
+    sizes = np.random.default_rng(0).integers(2500, 4200, 4000)
+    began = time.process_time()
+    bins = packing.pack_sizes(sizes, 8192)
+    assert time.process_time() - began < 10 * 3  # 10 s on an ordinary machine
+    assert sorted(itertools.chain(*bins)) == list(range(4000)) and all(sizes[b].sum() <= 8192 for b in bins)
+    assert len(bins) < len(packing.best_fit(sizes, 8192)[0])
+    few = packing.pack_sizes(sizes[:60], 8192)
+    assert next(_gains(few, sizes[:60].tolist(), 8192, 0.98), None) is None
+
+
 def test_packing_of_documents(spark):
     docs = H.awkward(spark).unionByName(H.documents(spark, [(100 + i, H.prose(i, 1 + i * 7 % 90)) for i in range(200)]))
-    got = packing.pack(H.with_clashes(docs), capacity=100, cell=50).collect()
+    by_words = {"capacity": 100, "cell": 50, "measure": tokens.word_count}
+    got = packing.pack(H.with_clashes(docs), **by_words).collect()
     fills, pieces = {}, {}
     for r in got:
         if r["bin"] is None:
-            assert r["words"] == 0
+            assert r["tokens"] == 0
             continue
-        fills[r["bin"]] = fills.get(r["bin"], 0) + r["words"]
-        pieces.setdefault(r["doc_id"], []).append((r["start"], r["words"]))
+        fills[r["bin"]] = fills.get(r["bin"], 0) + r["tokens"]
+        pieces.setdefault(r["doc_id"], []).append((r["start"], r["tokens"]))
     assert max(fills.values()) <= 100
     for d, text in [(100 + i, H.prose(i, 1 + i * 7 % 90)) for i in range(200)]:
         assert sum(w for _, w in pieces[d]) == len(text.split())
     assert sum(w for _, w in pieces[4]) == 60_000 and len(pieces[4]) == 600
     assert sum(w for _, w in pieces[8]) == 360
     assert sum(1 for r in got if r["bin"] is None) == 4
+    assert len({(r["doc_id"], r["copy"], r["piece"]) for r in got}) == len(got)
     assert packing.pack(docs.limit(0)).count() == 0
     # the same bins, however rows are spread
-    again = packing.pack(docs.repartition(7, "text"), capacity=100, cell=50)
+    again = packing.pack(docs.repartition(7, "text"), **by_words)
     assert H.rows(again) == sorted(map(tuple, got), key=lambda r: tuple((x is not None, str(type(x)), x) for x in r))
 
 
+def test_packing_meets_again_across_cells(spark):
+    docs = H.documents(spark, [(i, H.prose(i, 20 + i * 37 % 60)) for i in range(400)])
+    bins = lambda cell: packing.pack(docs, capacity=100, cell=cell, measure=tokens.word_count).filter("bin is not null").select("bin").distinct().count()
+    one, many = bins(400), bins(20)
+    alone = sum(len(packing.pack_sizes(np.array([20 + i * 37 % 60 for i in range(k, 400, 20)]), 100)) for k in range(20))
+    assert one <= many <= alone
+
+
+def test_packing_spreads_rows_that_share_an_id(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CHUNK", 7)
+    rows = [(None, "one two three")] * 50 + [(3, "one two three")] * 20 + [(3, "one two")] * 5
+    got = packing.pack(H.documents(spark, rows), capacity=9, cell=10, measure=tokens.word_count).collect()
+    assert sorted((str(r["doc_id"]), r["copy"], r["tokens"]) for r in got) == sorted([("None", k, 3) for k in range(1, 51)] + [("3", k, 2 if k <= 5 else 3) for k in range(1, 26)])
+    assert len({r["bin"] >> 24 for r in got}) > 3
+
+
+@pytest.mark.skipif(not os.path.exists(tokens.TOKENIZERS), reason="no tokenizers here")
+def test_packing_is_by_tokens(spark):
+    docs = H.awkward(spark)
+    count, _ = tokens.counter(f"{tokens.TOKENIZERS}/{tokens.VOCABULARY}")
+    sums = {}
+    for r in packing.pack(docs, capacity=500).collect():
+        sums[r["doc_id"]] = sums.get(r["doc_id"], 0) + r["tokens"]
+    want = {}
+    for r in docs.collect():
+        want[r["doc_id"]] = want.get(r["doc_id"], 0) + count([r["text"] or ""])[0]
+    assert sums == want
+
+
 TEXTS = ["", " ", "a", "I'll go,  they've   gone.\n\n\nNew line\t tab ", "straße 漢字かな 🎵🎵 é", "<|endoftext|> x", "x" * 500, "1234567 89 , . ! ?", "a  b   c    d"]
 
 
@@ -121,9 +166,18 @@ def test_token_counts_of_documents(spark):
     assert tokens.token_counts(docs.limit(0)).count() == 0
 
 
+def test_long_texts_are_cut_at_every_kind_of_place():
+    assert max(map(len, tokens.parts("漢字漢字,かな" * 20_000, 1000))) < 1020
+    assert max(map(len, tokens.parts("ab12" * 20_000, 1000))) < 1020
+    assert max(map(len, tokens.parts("line\n" * 20_000, 1000))) < 1020
+    assert max(map(len, tokens.parts("a word " * 20_000, 1000, "space"))) < 1020
+    assert not any(p.endswith("'") for p in tokens.parts("it's" * 50, 1)) and tokens.parts("it's", 1) == ["it", "'s"]
+
+
 def test_parts_lose_nothing():
     for t in [*TEXTS, H.prose(1, 3000)]:
         assert "".join(tokens.parts(t, 16)) == t
+        assert "".join(tokens.parts(t, 16, "space")).replace(" ", "") == t.replace(" ", "")
 
 
 def _grams(text):
@@ -164,6 +218,54 @@ def test_ftrl_is_sparse_and_learns():
     assert right > 0.97 and (w == 0).mean() > 0.5
 
 
+def test_ftrl_is_the_scalar_algorithm():
+    """One weight at a time, by the published update."""
+    r = np.random.default_rng(4)
+    rows = [(np.sort(r.choice(30, r.integers(1, 6), replace=False)), None) for _ in range(60)]
+    rows = [(f, r.random(len(f)) * 3) for f, _ in rows] + [(np.zeros(0, np.int64), np.zeros(0))]
+    y = r.integers(0, 3, len(rows))
+    alpha, beta, l1, l2, epochs, seed = 0.5, 1.0, 0.3, 0.5, 2, 5
+    z, n = {}, {}
+
+    def weight(i, c):
+        a, b = z.get((i, c), 0.0), n.get((i, c), 0.0)
+        return 0.0 if abs(a) <= l1 else -(a - np.sign(a) * l1) / ((beta + np.sqrt(b)) / alpha + l2)
+
+    order = np.random.default_rng(seed)
+    for _ in range(epochs):
+        for k in order.permutation(len(rows)):
+            f, x = rows[k]
+            scores = [sum(weight(i, c) * v for i, v in zip(f, x)) for c in range(3)]
+            top = max(scores)
+            e = [np.exp(s - top) for s in scores]
+            w = {(i, c): weight(i, c) for i in f for c in range(3)}
+            for c in range(3):
+                for i, v in zip(f, x):
+                    g = (e[c] / sum(e) - (y[k] == c)) * v
+                    sigma = (np.sqrt(n.get((i, c), 0.0) + g * g) - np.sqrt(n.get((i, c), 0.0))) / alpha
+                    z[i, c] = z.get((i, c), 0.0) + g - sigma * w[i, c]
+                    n[i, c] = n.get((i, c), 0.0) + g * g
+    want = np.array([[weight(i, c) for c in range(3)] for i in range(30)])
+    got = language.ftrl(rows, y, 3, 30, alpha, beta, l1, l2, epochs, seed)
+    assert np.allclose(got, want) and (got == 0).any() and (got != 0).any()
+
+
+def test_language_sample_is_bounded_and_ties_go_by_name(spark):
+    stems = ["ka", "lo", "mi", "nu", "pe", "ri", "so", "tu", "va", "ze", "bo", "du"]
+    rows = [(i, f"{stems[i % 12]}{stems[i % 12]} " * 6 + f"{stems[i % 12]}{i % 7}", f"l{i % 12:02}") for i in range(240)]
+    rows += [(7, rows[7][1], "l07")] * 40 + [(None, "kaka kaka", "l00")] * 40 + [(7, "other text with the same id", "l07")]
+    docs = H.documents(spark, rows)
+    model = language.train(docs, sample=10, sample_all=120)
+    assert model.languages == [f"l{k:02}" for k in range(12)]
+    got = language.identify(docs.filter("doc_id is not null and doc_id <> 7"), model).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert np.mean([r["language"] == r["lang"] for r in got]) > 0.9
+    again = language.train(docs.repartition(5, "text"), sample=10, sample_all=120)
+    assert (again.weights == model.weights).all() and again.temperature == model.temperature
+    flat = language.Model(["b", "c"], np.zeros((1 << language.BITS, 2), np.float32), 1.0)
+    (r,) = language.identify(H.documents(spark, [(1, "any text")]), flat, min_confidence=0.5).collect()
+    assert (r["language"], r["confidence"], r["keep"]) == ("b", 0.5, True)
+
+
 def test_temperature_is_the_likeliest():
     r = np.random.default_rng(1)
     z = r.normal(size=(4000, 3)) * 2
@@ -255,6 +357,35 @@ def test_discriminant_is_the_density_difference():
     assert np.allclose(model.scores(points), want[1] - want[0])
 
 
+def test_fit_and_query_are_those_of_plain_sums(spark, tmp_path):
+    """The whole query: statistics, sums and densities, a document at a time."""
+    texts = {i: H.prose(i, 20 + i % 60, 50 + i) for i in range(80)} | {100 + i: "### x1 " * (10 + i) + H.prose(i, 5) for i in range(60)}
+    labels = [(i, 1) for i in range(50)] + [(100 + i, 0) for i in range(40)] + [(3, 1), (999, 0), (None, 1), (60, 5)]
+    H.documents(spark, [*texts.items(), (None, "no id"), (200, None), (201, " ")]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(d, q, 0) for d, q in labels], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    x = {d: np.array(_statistics(t)) for d, t in texts.items()}
+    of = {k: np.array([x[d] for d, q in labels if q == k and d in x]) for k in (0, 1)}
+    pooled = sum((a - a.mean(0)).T @ (a - a.mean(0)) for a in of.values()) / (sum(map(len, of.values())) - 2)
+    density = {}
+    for k, a in of.items():
+        c = (1 - quality.TO_POOLED) * np.cov(a.T) + quality.TO_POOLED * pooled
+        c = (1 - quality.TO_DIAGONAL) * c + quality.TO_DIAGONAL * np.diag(np.maximum(np.diag(pooled), 1e-6))
+        density[k] = lambda v, m=a.mean(0), i=np.linalg.inv(c), s=np.linalg.slogdet(c)[1], p=len(a) / 91: np.log(p) - 0.5 * ((v - m) @ i @ (v - m) + s)
+    got = {r["doc_id"]: r for r in quality.op10_quality(spark, str(tmp_path)).collect()}
+    for d, v in x.items():
+        want = density[1](v) - density[0](v)
+        assert got[d]["score"] == pytest.approx(want, rel=1e-6) and got[d]["keep"] == (want >= 0)
+    assert got[200]["score"] is None and got[201]["score"] is None and not got[201]["keep"]
+
+
+def test_statistics_that_are_constant_in_a_class(spark):
+    docs = H.documents(spark, [(i, "same text each time") for i in range(5)] + [(10 + i, H.prose(i, 30 + i)) for i in range(8)])
+    labels = spark.createDataFrame([(i, 0) for i in range(5)] + [(10 + i, 1) for i in range(8)], "doc_id bigint, quality int")
+    got = {r["doc_id"]: r for r in quality.fit_and_classify(docs, labels).collect()}
+    assert all(np.isfinite(r["score"]) for r in got.values())
+    assert not got[0]["keep"] and all(got[10 + i]["keep"] for i in range(8))
+
+
 @needs_data
 def test_quality_accuracy_on_held_out_labels(spark):
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")

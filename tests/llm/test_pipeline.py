@@ -1,7 +1,10 @@
 """Each stage of the pipeline on what the one before kept, against brute force."""
 
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline as P
-from attestra.llm import language, packing
+from attestra.llm import language, packing, tokens
 from attestra.llm.tables import kept
 from tests.llm import helpers as H
 from tests.llm.test_exact_operators import _brute_repeats
@@ -37,9 +40,15 @@ def test_stages(spark, tmp_path):
         assert df.columns == docs.columns
     ids = [sorted((r["doc_id"] for r in df.select("doc_id").collect()), key=str) for df in inputs]
 
-    # language: exactly what identify() keeps, and clean documents stay
+    # language: the scores of the model by plain sums, and clean documents stay
     model = language.train(docs)
-    keep = sorted((r["doc_id"] for r in language.identify(docs, model).collect() if r["keep"]), key=str)
+    keep = []
+    for r in docs.collect():
+        f, _ = language.grams(pa.array([r["text"] or ""]))
+        z = model.weights[f].astype(float).sum(axis=0) * language._SCALE / max(1, len(f)) / model.temperature
+        if len(f) and language.softmax(z[None, :]).max() >= language.MIN_CONFIDENCE:
+            keep.append(r["doc_id"])
+    keep = sorted(keep, key=str)
     assert ids[1] == keep and not {300, 301, 302} & set(ids[1]) and None in ids[1] and set(range(60)) <= set(ids[1])
 
     # near copies: by comparing all pairs
@@ -66,26 +75,31 @@ def test_stages(spark, tmp_path):
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
 
     # mixing: by the definition
-    tokens, rows = {}, inputs[3].collect()
+    count, _ = tokens.counter(f"{tokens.TOKENIZERS}/{tokens.VOCABULARY}")
+    sums, rows = {}, inputs[3].collect()
     for r in rows:
-        tokens[r["source"]] = tokens.get(r["source"], 0) + len(H.words(r["text"]))
-    share = sum(tokens.values()) / sum(t**0.5 for t in tokens.values())
+        sums[r["source"]] = sums.get(r["source"], 0) + count([r["text"]])[0]
+    share = sum(sums.values()) / sum(t**0.5 for t in sums.values())
     import hashlib
 
     expect = []
     for r in rows:
-        rate = tokens[r["source"]] ** 0.5 * share / tokens[r["source"]]
+        rate = sums[r["source"]] ** 0.5 * share / sums[r["source"]]
         name = "" if r["doc_id"] is None else str(r["doc_id"])
         draw = int(hashlib.md5(f"11|{name}".encode()).hexdigest()[:12], 16) / 2**48
         expect += [r["doc_id"]] * (int(rate) + (draw < rate - int(rate)))
     assert ids[4] == sorted(expect, key=str)
 
-    # packing: every word is in a bin, and no bin is over capacity
-    fills = {}
-    for r in inputs[5].collect():
-        fills[r["bin"]] = fills.get(r["bin"], 0) + r["words"]
-    assert sum(fills.values()) == sum(len(H.words(r["text"])) for r in inputs[4].collect())
-    assert max(fills.values()) <= packing.CAPACITY
+    # packing: the bins of each document's tokens, by packing them here
+    want = sorted(count([r["text"]])[0] for r in inputs[4].collect())
+    packed = inputs[5].collect()
+    assert sorted(r["tokens"] for r in packed) == want
+    bins = {}
+    for r in packed:
+        bins.setdefault(r["bin"], []).append(r["tokens"])
+    here = packing.pack_sizes(np.array(sorted(want, reverse=True)), packing.CAPACITY)
+    assert sorted(map(sum, bins.values())) == sorted(int(np.array(sorted(want, reverse=True))[b].sum()) for b in here)
+    assert len({(r["doc_id"], r["copy"], r["piece"]) for r in packed}) == len(packed)
 
 
 def test_run_applies_the_stages(spark, tmp_path):
