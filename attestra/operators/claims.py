@@ -85,7 +85,7 @@ _TIME = r"nanoseconds?|ns|microseconds?|us|µs|μs|milliseconds?|msec|ms|seconds
 _DURATIONS = {"n": 1e-9, "u": 1e-6, "µ": 1e-6, "μ": 1e-6, "mic": 1e-6, "ms": 1e-3, "mil": 1e-3, "s": 1.0, "m": 60.0, "h": 3600.0}
 _MEMORY = {"kb": 1 / 1024, "kib": 1 / 1024, "mb": 1.0, "mib": 1.0, "gb": 1024.0, "gib": 1024.0}
 _COUNT = r"(?<![\w.,])([1-9]\d{0,2}(?:,\d{3})+|[1-9]\d*)"
-_PROSE = re.compile(rf"(?i)\b({N.PATTERN}){_SEPARATOR}({_DIGITS})\s*(?:(%)|({_TIME})\b)?")
+_PROSE = re.compile(rf"(?i)\b({N.PATTERN}){_SEPARATOR}({_DIGITS})\s*(?:(%)|({_TIME}|[kmg]i?b)\b)?")
 _CELL = re.compile(rf"^\s*[*_`]*({_DIGITS})\s*(%)?\s*({_TIME}|kb|mb|gb)?\s*[*_`]*(?:\s*(?:±|\+/-).*)?$", re.I)
 _COCO = re.compile(rf"(?i)Average\s+(Precision|Recall)\s+\((?:AP|AR)\)\s+@\[\s*IoU=([0-9.:]+)\s*\|\s*area=\s*(\w+)\s*\|[^]]*\]\s*=\s*({_DIGITS})")
 _DURATION = re.compile(rf"(?i)(?:processing\s+time\s*[:=]|complet(?:e|ed|ing)(?:\s+the\s+(?:test|run))?\s+in)\s*({_DIGITS})\s*({_TIME}|m)\b")
@@ -177,7 +177,11 @@ def _prose(body: str) -> Iterator[tuple[str, float, dict]]:
         yield f"{m[1].lower()}_{m[2]}", value / 100 if m[4] or 1 < abs(value) <= 100 else value, {}
     for m in _PROSE.finditer(body):
         metric = N.canonical(m[1])
-        value = number(m[2]) * (_seconds(m[4]) if m[4] and metric.endswith("_seconds") else 1)
+        value, unit = number(m[2]), (m[4] or "").lower()
+        if unit in _MEMORY:
+            value *= _MEMORY[unit] if metric.endswith("_mb") else 1
+        elif unit and metric.endswith("_seconds"):
+            value *= _seconds(unit)
         yield metric, _share(metric, value, bool(m[3])), {}
 
 
@@ -256,15 +260,17 @@ def contexts_compatible(a: Column, b: Column) -> Column:
 
 
 def check(claimed: DataFrame, evidence: DataFrame, key: str, tolerance: float = 0.005) -> DataFrame:
-    """Every claim with its evidence on (key, metric): status, observed and difference.
+    """Every claim with its evidence on (key, metric): status, observed, difference, tolerance, evidence_level, display_kind.
 
-    verified against recomputed evidence, supported against reported, mismatch beyond the
-    tolerance, no_evidence without a metric or with a context that conflicts.
+    verified against recomputed evidence, supported against reported, mismatch where they
+    differ by over the tolerance, no_evidence without a metric or with a context that
+    conflicts.  The difference has no sign.
     """
     e = evidence.select(F.col(key).alias("__k"), F.col("metric").alias("__m"), F.col("value").alias("observed"), "evidence_level", F.col("context").alias("__c"))
     j = claimed.join(e, (F.col(key) == F.col("__k")) & (F.col("metric") == F.col("__m")), "left")
-    fits = F.col("__m").isNotNull() & contexts_compatible(F.col("context"), F.col("__c"))
-    close = F.abs(F.col("value") - F.col("observed")) <= tolerance
-    status = F.when(~F.coalesce(fits, F.lit(False)), "no_evidence").when(~close, "mismatch").when(F.col("evidence_level") == "recomputed", "verified").otherwise("supported")
-    some = status != "no_evidence"
-    return j.select(*claimed.columns, status.alias("status"), F.when(some, F.col("observed")).alias("observed"), F.when(some, F.col("value") - F.col("observed")).alias("difference"))
+    some = F.coalesce(F.col("__m").isNotNull() & contexts_compatible(F.col("context"), F.col("__c")), F.lit(False))
+    difference = F.abs(F.col("value") - F.col("observed"))
+    status = F.when(~some, "no_evidence").when(~(difference <= tolerance), "mismatch").when(F.col("evidence_level") == "recomputed", "verified").otherwise("supported")
+    only = lambda c: F.when(some, c)
+    kind = F.when(N.is_unit_interval(F.col("metric")), "percentage").otherwise("scalar")
+    return j.select(*claimed.columns, status.alias("status"), only(F.col("observed")).alias("observed"), only(difference).alias("difference"), F.lit(tolerance).alias("tolerance"), only(F.col("evidence_level")).alias("evidence_level"), kind.alias("display_kind"))

@@ -24,6 +24,7 @@ def accuracy(df: DataFrame, truth: str = "y_true", prediction: str = "y_pred") -
     out = df.agg(F.count("*").alias("n"), F.sum((F.col(truth).cast("string") == F.col(prediction).cast("string")).cast("bigint")).alias("hits"))
     p = F.col("hits").cast("double") / F.col("n")
     low, high = wilson(p, F.col("n"))
+    out = out.withColumn("n", F.when(F.col("n") > 0, F.col("n")).otherwise(F.raise_error(F.lit("there are no predictions")).cast("bigint")))
     return out.select(p.alias("accuracy"), "n", low.alias("ci_low"), high.alias("ci_high"))
 
 
@@ -69,20 +70,19 @@ def running(df: DataFrame, order: str, sums: dict[str, str], ascending: bool = F
     parallel, and the sums of the ranges before are added from a table of one row a range.
     """
     marks = sorted(set(df.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.001)))
-    cell = F.lit(0)
-    if marks:
-        cell = F.size(F.filter(F.array(*[F.lit(m) for m in marks]), lambda m: m <= F.col(order)))
+    # a sum of comparisons: of a lambda that names a column, the optimizer infers a filter for the other side of the join below, where that column isn't
+    cell = sum(((F.lit(m) <= F.col(order)).cast("int") for m in marks), F.lit(0))
     marked = df.withColumn("__cell", cell)
     direction = F.col(order).asc() if ascending else F.col(order).desc()
     inside = Window.partitionBy("__cell").orderBy(direction).rowsBetween(Window.unboundedPreceding, 0)
-    totals = marked.groupBy("__cell").agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
-    before = Window.orderBy(F.col("__cell").asc() if ascending else F.col("__cell").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("__cell", *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__b_{n}") for n in sums])
-    out = marked
-    for n, c in sums.items():
-        out = out.withColumn(f"__w_{n}", F.sum(c).over(inside))
-    # at most ``buckets`` rows
-    out = out.join(F.broadcast(starts), "__cell")
+    # at most ``buckets`` rows; summed up here, so the plan has no join of the table with itself
+    totals = marked.groupBy("__cell").agg(*[F.sum(c).alias(f"__b_{n}") for n, c in sums.items()])
+    so_far, starts = [0] * len(sums), []
+    for r in sorted(totals.collect(), key=lambda r: r["__cell"], reverse=not ascending):
+        starts.append((r["__cell"], *so_far))
+        so_far = [a + (b or 0) for a, b in zip(so_far, r[1:], strict=True)]
+    starts = df.sparkSession.createDataFrame(starts, totals.schema)
+    out = marked.select("*", *[F.sum(c).over(inside).alias(f"__w_{n}") for n, c in sums.items()]).join(F.broadcast(starts), "__cell")
     return out.select(*df.columns, *[(F.col(f"__w_{n}") + F.col(f"__b_{n}")).alias(n) for n in sums])
 
 
@@ -94,9 +94,9 @@ def auroc(df: DataFrame, positive: Column, score: str = "y_score") -> DataFrame:
 
 
 def auprc(df: DataFrame, positive: Column, score: str = "y_score") -> DataFrame:
-    """(auprc): precision summed over the recall gained at each distinct score, from high to low."""
+    """(auprc): precision summed over the recall gained at each distinct score, from high to low; null without positives."""
     scores = running(_by_score(df, positive, score), "score", {"tp": "pos", "taken": "n"})
-    return scores.agg((F.sum(F.col("pos") * (F.col("tp") / F.col("taken"))) / F.sum("pos")).alias("auprc"))
+    return scores.agg((F.sum(F.col("pos") * (F.col("tp") / F.col("taken"))) / F.nullif(F.sum("pos"), F.lit(0))).alias("auprc"))
 
 
 def log_loss_brier(df: DataFrame, positive: Column, score: str = "y_score") -> DataFrame:

@@ -5,6 +5,8 @@ Random draws are hashes of (seed, sample, slot), so that any engine can repeat t
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,17 +14,100 @@ from attestra.functions.stats import Z95_EXACT, cohen_kappa, mcnemar_exact, rati
 from attestra.operators.classification import running
 
 
-def arm_scores(df: DataFrame, gold: str, arm: str, positive: str) -> DataFrame:
+STATUSES = ("supported", "contradicted", "not_verifiable")
+
+
+def coverage(gold: DataFrame, arm: DataFrame, key: str) -> DataFrame:
+    """(missing, unexpected, repeated): keys of gold that the arm lacks, keys it has besides, and rows of it that repeat a key; all 0 if it covers gold exactly."""
+    a = gold.groupBy(key).agg(F.lit(1).alias("g"))
+    b = arm.groupBy(key).agg(F.count("*").alias("n"))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    both = a.join(b, key, "full_outer")
+    return both.agg(zero(F.col("n").isNull().cast("int")).alias("missing"), zero(F.col("g").isNull().cast("int")).alias("unexpected"), zero(F.col("n") - 1).alias("repeated"))
+
+
+def class_scores(df: DataFrame, gold: str, arm: str, statuses: tuple[str, ...] = STATUSES) -> DataFrame:
+    """(status, support, guessed, hits, precision, recall, f1) of every status, whether it occurs or not; empty denominators count as 1.
+
+    A status that isn't among them is an error of the job.
+    """
+    known = lambda c: F.when(F.col(c).isin(*statuses), F.col(c)).otherwise(F.raise_error(F.concat(F.lit("unknown status: "), F.coalesce(F.col(c), F.lit("null")))))
+    cells = df.groupBy(known(gold).alias("g"), known(arm).alias("a")).agg(F.count("*").alias("n"))
+    sums = [F.coalesce(F.sum(F.when(w, F.col("n"))), F.lit(0)).cast("bigint") for s in statuses for w in (F.col("g") == s, F.col("a") == s, (F.col("g") == s) & (F.col("a") == s))]
+    one = cells.agg(F.array(*[F.struct(F.lit(s).alias("status"), *[c.alias(x) for c, x in zip(sums[3 * i : 3 * i + 3], ("support", "guessed", "hits"), strict=True)]) for i, s in enumerate(statuses)]).alias("x"))
+    rows = one.select(F.explode("x").alias("x")).select("x.*")
+    rows = rows.withColumn("precision", ratio(F.col("hits"), F.col("guessed"), 1.0)).withColumn("recall", ratio(F.col("hits"), F.col("support"), 1.0))
+    return rows.withColumn("f1", ratio(2.0 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+
+
+def arm_scores(df: DataFrame, gold: str, arm: str, positive: str, statuses: tuple[str, ...] = STATUSES) -> DataFrame:
     """(n, accuracy, macro_f1, recall_positive, false_accusation_rate) of a column of statuses against gold ones.
 
-    Empty denominators count as 1, as for detectors that had nothing to find; recall of no cases is 0.
+    All statuses count for macro_f1; the rate of accusations is 0 where no case could be accused wrongly.
+    """
+    of = lambda c: F.sum(F.when(F.col("status") == positive, F.col(c)).otherwise(0))
+    total = class_scores(df, gold, arm, statuses).agg(F.sum("support").alias("n"), F.sum("hits").alias("hits"), F.avg("f1").alias("macro_f1"), of("recall").alias("recall_positive"), of("guessed").alias("g"), of("hits").alias("h"), of("support").alias("s"))
+    return total.select("n", ratio(F.col("hits"), F.col("n")).alias("accuracy"), "macro_f1", "recall_positive", ratio(F.col("g") - F.col("h"), F.col("n") - F.col("s")).alias("false_accusation_rate"))
+
+
+def recall_delta(arm: str, other: str, gold: str, positive: str) -> tuple[dict[str, Column], Column]:
+    """Values and statistic for cluster_bootstrap(): how much more of the positive cases an arm finds than another; 0 in a draw without any."""
+    is_positive = F.col(gold) == positive
+    values = {"cases": is_positive.cast("bigint"), "ours": (is_positive & (F.col(arm) == positive)).cast("bigint"), "theirs": (is_positive & (F.col(other) == positive)).cast("bigint")}
+    return values, ratio(F.col("ours") - F.col("theirs"), F.col("cases"))
+
+
+def paired_recall_delta(selected: Column, correct: Column, baseline: Column, eligible: Column) -> tuple[dict[str, Column], Column]:
+    """As recall_delta(), for a selective system against a baseline among eligible cases; null in a draw without any, which interval() leaves out."""
+    values = {"eligible": eligible.cast("bigint"), "system": (selected & correct).cast("bigint"), "base": baseline.cast("bigint")}
+    return values, F.when(F.col("eligible") > 0, (F.col("system") - F.col("base")) / F.col("eligible"))
+
+
+def step_interval(samples: DataFrame, low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """(samples, low, high): order statistics of the statistic without interpolation, rounded outwards; 0 and 0 without any."""
+    s = samples.agg(F.array_sort(F.collect_list("statistic")).alias("x"))  # a row a draw
+    n = F.size("x")
+    at = lambda i: F.coalesce(F.get("x", i.cast("int")), F.lit(0.0))
+    return s.select(n.alias("samples"), at(F.floor((n - 1) * F.lit(low))).alias("low"), at(F.ceil((n - 1) * F.lit(high))).alias("high"))
+
+
+def threshold_metrics(df: DataFrame, score: str, actual: Column, threshold: float) -> DataFrame:
+    """(records, tp, fp, fn, tn, precision, recall, f1, brier, threshold) of score >= threshold; empty denominators count as 0."""
+    guess = F.col(score) >= threshold
+    n = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0))
+    y = actual.cast("double")
+    out = df.agg(F.count("*").alias("records"), n(actual & guess).alias("tp"), n(~actual & guess).alias("fp"), n(actual & ~guess).alias("fn"), n(~actual & ~guess).alias("tn"), F.avg((F.col(score) - y) * (F.col(score) - y)).alias("brier"))
+    out = out.withColumn("precision", ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", ratio(F.col("tp"), F.col("tp") + F.col("fn")))
+    out = out.withColumn("f1", ratio(2.0 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+    return out.select("records", "tp", "fp", "fn", "tn", "precision", "recall", "f1", "brier", F.lit(threshold).alias("threshold"))
+
+
+def system_summary(cases: DataFrame, system: str, defect: Column, detected: Column, family: str) -> DataFrame:
+    """Of each system: (system, tp, fn, fp, tn, sensitivity, sensitivity_low, sensitivity_high, specificity, specificity_low, specificity_high, balanced_accuracy, family_coverage).
+
+    A family of defects is covered if all its cases are detected; shares of nothing, and their intervals, are 1.
     """
-    cells = df.groupBy(F.col(gold).alias("g"), F.col(arm).alias("a")).agg(F.count("*").alias("n"))
-    each = cells.select(F.explode(F.array(F.struct(F.col("g").alias("c"), F.col("n").alias("s"), F.lit(0).cast("bigint").alias("p"), F.when(F.col("g") == F.col("a"), F.col("n")).otherwise(0).alias("t")), F.struct(F.col("a").alias("c"), F.lit(0).cast("bigint").alias("s"), F.col("n").alias("p"), F.lit(0).cast("bigint").alias("t")))).alias("x")).select("x.*")
-    by = each.groupBy("c").agg(F.sum("s").alias("s"), F.sum("p").alias("p"), F.sum("t").alias("t"))
-    f1 = ratio(2 * F.col("t"), F.col("s") + F.col("p"), 1.0)
-    total = by.agg(F.sum("s").alias("n"), F.sum("t").alias("hits"), F.avg(f1).alias("macro_f1"), F.sum(F.when(F.col("c") == positive, F.col("s")).otherwise(0)).alias("ps"), F.sum(F.when(F.col("c") == positive, F.col("p")).otherwise(0)).alias("pp"), F.sum(F.when(F.col("c") == positive, F.col("t")).otherwise(0)).alias("pt"))
-    return total.select("n", (F.col("hits") / F.col("n")).alias("accuracy"), "macro_f1", ratio(F.col("pt"), F.col("ps")).alias("recall_positive"), ratio(F.col("pp") - F.col("pt"), F.col("n") - F.col("ps")).alias("false_accusation_rate"))
+    n = lambda c: F.sum(c.cast("bigint"))
+    families = cases.groupBy(system, family).agg(n(defect & detected).alias("tp"), n(defect & ~detected).alias("fn"), n(~defect & detected).alias("fp"), n(~defect & ~detected).alias("tn"))
+    has = (F.col("tp") + F.col("fn") > 0).cast("bigint")
+    full = ((F.col("tp") > 0) & (F.col("fn") == 0)).cast("bigint")
+    out = families.groupBy(system).agg(*[F.sum(c).alias(c) for c in ("tp", "fn", "fp", "tn")], ratio(F.sum(full), F.sum(has), 1.0).alias("family_coverage"))
+    for name, a, b in (("sensitivity", "tp", "fn"), ("specificity", "tn", "fp")):
+        total = F.col(a) + F.col(b)
+        low, high = wilson(F.col(a) / F.greatest(total, F.lit(1)), F.greatest(total, F.lit(1)))
+        some = total > 0
+        out = out.withColumn(name, ratio(F.col(a), total, 1.0)).withColumn(f"{name}_low", F.when(some, low).otherwise(1.0)).withColumn(f"{name}_high", F.when(some, high).otherwise(1.0))
+    return out.select(F.col(system).alias("system"), "tp", "fn", "fp", "tn", "sensitivity", "sensitivity_low", "sensitivity_high", "specificity", "specificity_low", "specificity_high", ((F.col("sensitivity") + F.col("specificity")) / 2).alias("balanced_accuracy"), "family_coverage")
+
+
+def pairwise_tests(df: DataFrame, right: dict[str, Column]) -> DataFrame:
+    """(first, second, first_only, second_only, discordant, p_value) of each two neighbours among the systems."""
+    names = list(right)
+    out = None
+    for a, b in zip(names, names[1:]):
+        one = paired_test(df, right[a], right[b]).select(F.lit(a).alias("first"), F.lit(b).alias("second"), F.col("only_a").alias("first_only"), F.col("only_b").alias("second_only"), (F.col("only_a") + F.col("only_b")).alias("discordant"), "p_value")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def paired_test(df: DataFrame, right_a: Column, right_b: Column) -> DataFrame:
@@ -83,10 +168,30 @@ def expected_calibration_error(bins: DataFrame) -> DataFrame:
 
 
 def average_precision(df: DataFrame, score: str, correct: Column, position: str) -> DataFrame:
-    """(average_precision) row by row in order of score, ties by position."""
-    order = Window.orderBy(F.desc(score), position)
-    ranked = df.select(correct.cast("bigint").alias("y"), F.row_number().over(order).alias("r"), F.sum(correct.cast("bigint")).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("tp"))
-    return ranked.agg((F.sum(F.when(F.col("y") == 1, F.col("tp") / F.col("r")).otherwise(0.0)) / F.sum("y")).alias("average_precision"))
+    """(average_precision) row by row in order of score, ties by position, a number; 0 without correct rows.
+
+    Rows are windowed in ranges of scores, and those of one frequent score in ranges of positions.
+    """
+    rows = df.select(F.col(score).alias("s"), F.col(position).alias("p"), correct.cast("bigint").alias("y"))
+    marks = rows.approxQuantile(["s", "p"], [i / 64 for i in range(1, 64)], 0.002)
+    often = {a for a, b in zip(marks[0], marks[0][1:]) if a == b}
+    scores = sorted({*marks[0], *(math.nextafter(m, math.inf) for m in often)})
+    count = lambda ms, c: sum(((F.lit(m) <= c).cast("int") for m in ms), F.lit(0))
+    places = sorted(set(marks[1])) if often else []
+    cell = F.struct((-count(scores, F.col("s"))).alias("a"), (F.when(F.col("s").isin(*often), count(places, F.col("p"))).otherwise(0) if often else F.lit(0)).alias("b"))
+    rows = rows.withColumn("cell", cell)
+    # at most 128 cells, or with frequent scores 128 x 64
+    before, taken, hits = [], 0, 0
+    for r in sorted(rows.groupBy("cell").agg(F.count("*").alias("n"), F.sum("y").alias("y")).collect(), key=lambda r: tuple(r["cell"])):
+        before.append((tuple(r["cell"]), taken, hits))
+        taken, hits = taken + r["n"], hits + r["y"]
+    if not hits:
+        return df.sparkSession.createDataFrame([(0.0,)], "average_precision double")
+    starts = df.sparkSession.createDataFrame(before, "cell struct<a:int,b:int>, n0 bigint, y0 bigint")
+    order = Window.partitionBy("cell").orderBy(F.desc("s"), "p")
+    ranked = rows.select("cell", "y", F.row_number().over(order).alias("r"), F.sum("y").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("tp"))
+    ranked = ranked.filter("y = 1").join(F.broadcast(starts), "cell")
+    return ranked.agg((F.sum((F.col("tp") + F.col("y0")) / (F.col("r") + F.col("n0"))) / F.lit(hits)).alias("average_precision"))
 
 
 def risk_coverage(df: DataFrame, score: str, correct: Column) -> DataFrame:

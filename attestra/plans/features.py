@@ -110,6 +110,14 @@ def owner_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.assign(table(spark, sf_dir, "customer"), "c_mktsegment", "c_nationkey", 7)
 
 
+def lineage_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as repositories, their segments as domains; those of one phone class in a segment share a lineage, and blocks tie some classes."""
+    c = table(spark, sf_dir, "customer")
+    repositories = c.select(F.col("c_custkey").alias("repository"), F.col("c_mktsegment").alias("domain"), F.concat_ws(":", "c_mktsegment", (F.col("c_custkey") % 29).cast("string")).alias("lineage"))
+    blocks = c.filter("c_custkey % 29 in (3, 7, 11)").select(F.col("c_custkey").alias("repository"), F.concat_ws(":", F.lit("tied"), "c_mktsegment").alias("lineage"))
+    return P.owner_disjoint(repositories, "repository", "domain", "lineage", 11, blocks=blocks)
+
+
 _TURNS = "t AS (SELECT a.conv_id, a.turn, lower(b.text) AS p, lower(a.text) AS q, b.text AS bt, a.text AS at_ FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1)"
 _SETS = "list_distinct(list_filter(string_split_regex({0}, '\\s+'), lambda x: length(x) > 1))"
 _CANDIDATES = """c AS (SELECT n.n_nationkey AS claim_id, s_suppkey AS artifact_id, 1.0::DOUBLE / (1.0::DOUBLE + exp(-(1.5::DOUBLE * (n.n_nationkey = s_nationkey)::INT + 0.7::DOUBLE * greatest(0.0::DOUBLE, s_acctbal / 10000.0::DOUBLE) + 0.4::DOUBLE * (s_suppkey % 5 / 4.0::DOUBLE) - 1.0::DOUBLE))) AS score
@@ -125,7 +133,13 @@ n AS (SELECT id, feature, count(*) AS n FROM u GROUP BY 1, 2),
 d AS (SELECT feature, count(*) AS df FROM n GROUP BY 1 ORDER BY df DESC, feature LIMIT 2000),
 i AS (SELECT feature, df, ln((1.0::DOUBLE + (SELECT count(*) FROM conversations)) / (1.0::DOUBLE + df)) + 1.0::DOUBLE AS idf FROM d)"""
 
-QUERIES = {f.__name__: f for f in (word_features, idf_top, tfidf_weights, character_features, word_features_documents, idf_documents, tfidf_documents, character_features_documents, lexical_overlap, numeric_consistency, ranker_scores, ranking_mrr, artifact_roles, artifact_selection, hash_ranked_sample, owner_split)}
+#: One seat each, then one after the other to the split that lacks most of its share.
+_SEATS = """n AS (SELECT domain, count(*) AS n FROM r GROUP BY 1),
+t AS (SELECT domain, n, 1 AS a, 1 AS b, 1 AS c FROM n UNION ALL
+  SELECT domain, n, a + (w = 1)::INT, b + (w = 2)::INT, c + (w = 3)::INT FROM (SELECT *, CASE WHEN n * 0.6::DOUBLE - a >= n * 0.2::DOUBLE - b AND n * 0.6::DOUBLE - a >= n * 0.2::DOUBLE - c THEN 1 WHEN n * 0.2::DOUBLE - b >= n * 0.2::DOUBLE - c THEN 2 ELSE 3 END AS w FROM t WHERE a + b + c < n)),
+s AS (SELECT domain, a, b, c FROM t WHERE a + b + c = n)"""
+
+QUERIES = {f.__name__: f for f in (word_features, idf_top, tfidf_weights, character_features, word_features_documents, idf_documents, tfidf_documents, character_features_documents, lexical_overlap, numeric_consistency, ranker_scores, ranking_mrr, artifact_roles, artifact_selection, hash_ranked_sample, owner_split, lineage_split)}
 ORACLE = {
     "word_features": f"WITH {_WORDS} SELECT id, feature, n FROM n",
     "idf_top": f"WITH {_WORDS} SELECT feature, df, idf FROM i",
@@ -140,6 +154,10 @@ SELECT count(*) AS cases, avg(coalesce((rank <= 1)::INT, 0)) AS recall_at_1, avg
     "artifact_selection": f"""WITH {_PATHS}, o AS (SELECT *, row_number() OVER (PARTITION BY repository, size <= 20000 ORDER BY CASE role WHEN 'report' THEN 0 WHEN 'metrics' THEN 1 ELSE 2 END, len(string_split(path, '/')), lower(path), path) AS r FROM k WHERE role IS NOT NULL)
 SELECT page_id, role, CASE WHEN size > 20000 THEN 'oversized' WHEN r > 20 THEN 'artifact_limit' END AS reason FROM o""",
     "hash_ranked_sample": "WITH p AS (SELECT page_id, url, regexp_extract(url, '^https?://[^/]+/([a-z]+)', 1) AS site FROM pages) SELECT page_id, site, (row_number() OVER (PARTITION BY site ORDER BY sha256(url), url))::INT AS rank FROM p QUALIFY rank <= 5",
-    "owner_split": """WITH g AS (SELECT DISTINCT c_mktsegment, c_nationkey FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256('7:' || c_nationkey), c_nationkey) AS r, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM g)
-SELECT c_mktsegment, c_nationkey, CASE WHEN r > n - greatest(1, round(n * 0.2)) THEN 'test' WHEN r > n - 2 * greatest(1, round(n * 0.2)) THEN 'validation' ELSE 'train' END AS split FROM r""",
+    "owner_split": f"""WITH RECURSIVE g AS (SELECT DISTINCT c_mktsegment AS domain, c_nationkey AS k FROM customer), r AS (SELECT domain, k, row_number() OVER (PARTITION BY domain ORDER BY sha256('7:' || k), k) AS r FROM g), {_SEATS}
+SELECT domain AS c_mktsegment, k AS c_nationkey, CASE WHEN r <= a THEN 'train' WHEN r <= a + b THEN 'validation' ELSE 'test' END AS split FROM r JOIN s USING (domain)""",
+    "lineage_split": f"""WITH RECURSIVE q AS (SELECT c_custkey AS repository, c_mktsegment AS domain, CASE WHEN c_custkey % 29 IN (3, 7, 11) THEN 3 ELSE c_custkey % 29 END AS c FROM customer),
+p AS (SELECT repository, domain, min(repository) OVER (PARTITION BY domain, c) AS component FROM q), g AS (SELECT DISTINCT domain, component AS k FROM p),
+r AS (SELECT domain, k, row_number() OVER (PARTITION BY domain ORDER BY sha256('11:' || k), k) AS r FROM g), {_SEATS}
+SELECT p.domain, p.repository, p.component, CASE WHEN r <= a THEN 'train' WHEN r <= a + b THEN 'validation' ELSE 'test' END AS split FROM p JOIN r ON r.domain = p.domain AND r.k = p.component JOIN s ON s.domain = p.domain""",
 }

@@ -99,14 +99,56 @@ def near_match_ordered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_match_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = split_documents(spark, sf_dir)
-    return S.join_counters(train, test, "doc_id", "doc_id", "text", 0.8)
+    return S.scored_pairs(train, test, "doc_id", "doc_id", "text", 0.8)
+
+
+def _corpus(spark: SparkSession, n_train: int, n_test: int, common: str) -> tuple[DataFrame, DataFrame]:
+    """Generated rows: every other test row is a train row, and ``common`` stands before all of them."""
+    words = lambda i, *forms: F.concat_ws(" ", *([F.lit(common)] if common else []), *[F.concat(F.lit(w), x(i).cast("string")) for w, x in forms])
+    known = lambda i: words(i, ("topic", lambda i: i % 97), ("sample", lambda i: i), ("measurement", lambda i: i * 17 + 3))
+    novel = lambda i: words(i, ("novel", lambda i: i), ("independent", lambda i: i), ("unseen", lambda i: i * 19 + 5))
+    i = F.col("id")
+    train = spark.range(n_train).select("id", known(i).alias("text"))
+    return train, spark.range(n_test).select("id", F.when(i % 2 == 0, known(i * 37 % n_train)).otherwise(novel(i)).alias("text"))
+
+
+def join_counters_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of 10,000 x 1,000 generated rows, where few rows share a token."""
+    return S.join_counters(*_corpus(spark, 10_000, 1_000, ""), "id", "id", "text")
+
+
+def join_counters_common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of 2,000 x 200 generated rows that all share a token."""
+    return S.join_counters(*_corpus(spark, 2_000, 200, "shared"), "id", "id", "text")
+
+
+def near_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test documents with a near copy in train, but for those equal to a train document after normalisation."""
+    train, test = split_documents(spark, sf_dir)
+    return S.near_overlap(train, test, "doc_id", "doc_id", "text", 0.8, "token_jaccard_v1")
+
+
+def cross_split_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("split", F.when(F.col("doc_id") % 5 == 0, "test").when(F.col("doc_id") % 5 == 1, "validation").otherwise("train"))
+    return S.cross_split_near(docs, "doc_id", "split", "text", 0.9, "token_jaccard_v1")
 
 
 _TOKENS = "regexp_extract_all(" + _NORMAL.format("text") + ", '[\\p{L}\\p{N}\\p{M}_]+')"
 _WORDS = "trim(regexp_replace(regexp_replace(" + _NORMAL.format("text") + ", '[^\\p{L}\\p{N}\\p{M}_\\s]+', ' ', 'g'), '\\s+', ' ', 'g'))"
 _PAIRS = """c AS (SELECT x.doc_id AS test_id, y.doc_id AS train_id, count(*) AS k FROM u x JOIN u y ON x.g = y.g AND x.doc_id % 5 = 0 AND y.doc_id % 5 <> 0 GROUP BY 1, 2)"""
 
-QUERIES = {f.__name__: f for f in (split_exact_overlap, split_normalized_overlap, split_normalized_only, split_group_overlap, split_duplicates, leakage_summary, overlap_examples, cross_split_exact_pairs, row_fingerprints, near_match_jaccard, near_match_hybrid, near_match_ordered, near_match_hybrid_documents, near_match_ordered_documents, near_match_counters)}
+
+
+def _counters(n_train: int, n_test: int, common: str) -> str:
+    known = f"['{common}', 'topic' || ({{0}} % 97), 'sample' || {{0}}, 'measurement' || ({{0}} * 17 + 3)]"
+    return f"""WITH a AS (SELECT i, {known.format("i")} AS f FROM range({n_train}) r(i)),
+b AS (SELECT i, CASE WHEN i % 2 = 0 THEN {known.format(f"(i * 37 % {n_train})")} ELSE ['{common}', 'novel' || i, 'independent' || i, 'unseen' || (i * 19 + 5)] END AS f FROM range({n_test}) r(i)),
+u AS (SELECT i, unnest(list_filter(f, lambda x: x <> '')) AS g FROM a), v AS (SELECT i, unnest(list_filter(f, lambda x: x <> '')) AS g FROM b),
+c AS (SELECT u.i, v.i AS j, count(*) AS m FROM u JOIN v USING (g) GROUP BY 1, 2)
+SELECT ({n_train} * {n_test})::BIGINT AS exhaustive, count(*) AS candidates, sum((2.0 * m / {8 if common else 6} >= 0.8)::INT)::BIGINT AS scored FROM c"""
+
+
+QUERIES = {f.__name__: f for f in (split_exact_overlap, split_normalized_overlap, split_normalized_only, split_group_overlap, split_duplicates, leakage_summary, overlap_examples, cross_split_exact_pairs, row_fingerprints, near_match_jaccard, near_match_hybrid, near_match_ordered, near_match_hybrid_documents, near_match_ordered_documents, near_match_counters, join_counters_sparse, join_counters_common, near_overlap, cross_split_near)}
 ORACLE = {
     "split_exact_overlap": f"WITH {_SPLIT} SELECT doc_id, lang, source FROM test WHERE text IN (SELECT text FROM train)",
     "split_normalized_overlap": f"WITH {_SPLIT}, {_LOUD} SELECT doc_id FROM loud WHERE {_NORMAL.format('text')} IN (SELECT {_NORMAL.format('text')} FROM train)",
@@ -136,6 +178,16 @@ j AS (SELECT test_id, train_id, greatest(k / (len(a.f) + len(b.f) - k), CASE WHE
 SELECT test_id, train_id, similarity FROM j WHERE similarity >= 0.4::DOUBLE QUALIFY row_number() OVER (PARTITION BY test_id ORDER BY similarity DESC, train_id) = 1""",
     "near_match_counters": f"""WITH s AS (SELECT doc_id, {_TOKENS} AS f FROM documents), e AS (SELECT doc_id, unnest(f) AS g FROM s), u AS (SELECT doc_id, g, count(*) AS n FROM e GROUP BY 1, 2),
 c AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.n, y.n)) AS m FROM u x JOIN u y ON x.g = y.g AND x.doc_id % 5 = 0 AND y.doc_id % 5 <> 0 GROUP BY 1, 2)
-SELECT (SELECT count(*) FROM s WHERE doc_id % 5 = 0 AND len(f) > 0) * (SELECT count(*) FROM s WHERE doc_id % 5 <> 0) AS exhaustive, count(*) AS candidates,
+SELECT (SELECT count(*) FROM s WHERE doc_id % 5 = 0 AND len(f) > 0) * (SELECT count(*) FROM s WHERE doc_id % 5 <> 0) AS exhaustive,
   sum((2.0 * m / (len(l.f) + len(r.f)) >= 0.8)::INT)::BIGINT AS scored FROM c JOIN s l ON l.doc_id = a JOIN s r ON r.doc_id = b""",
+    "join_counters_sparse": _counters(10_000, 1_000, ""),
+    "join_counters_common": _counters(2_000, 200, "shared"),
+    "near_overlap": f"""WITH s AS (SELECT doc_id, {_NORMAL.format('text')} AS t, list_distinct({_TOKENS}) AS f FROM documents), u AS (SELECT doc_id, unnest(f) AS g FROM s), {_PAIRS},
+j AS (SELECT test_id, train_id, k / (len(a.f) + len(b.f) - k) AS similarity FROM c JOIN s a ON a.doc_id = test_id JOIN s b ON b.doc_id = train_id WHERE a.t NOT IN (SELECT t FROM s WHERE doc_id % 5 <> 0))
+SELECT test_id, train_id, similarity FROM j WHERE similarity >= 0.8 QUALIFY row_number() OVER (PARTITION BY test_id ORDER BY similarity DESC, train_id) = 1""",
+    "cross_split_near": f"""WITH s AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS p, {_NORMAL.format('text')} AS t, list_distinct({_TOKENS}) AS f FROM documents), u AS (SELECT doc_id, p, unnest(f) AS g FROM s),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, x.p AS pa, y.p AS pb, count(*) AS k FROM u x JOIN u y ON x.g = y.g AND x.p < y.p GROUP BY 1, 2, 3, 4),
+j AS (SELECT c.*, k / (len(l.f) + len(r.f) - k) AS similarity, l.t <> r.t AS differ FROM c JOIN s l ON l.doc_id = a JOIN s r ON r.doc_id = b),
+m AS (SELECT * FROM j WHERE similarity >= 0.9 QUALIFY row_number() OVER (PARTITION BY pa, pb, b ORDER BY similarity DESC, a) = 1)
+SELECT ['train', 'validation', 'test'][pa + 1] AS left_split, a AS left_block, ['train', 'validation', 'test'][pb + 1] AS right_split, b AS right_block, similarity FROM m WHERE differ""",
 }

@@ -13,10 +13,10 @@ def found(text):
     "text, want",
     [
         ("latency 12 ms", [("latency_seconds", 0.012)]),
-        ("Latency: 1.5 minutes, runtime = 2 h", [("latency_seconds", 90), ("latency_seconds", 7200)]),
+        ("Latency: 1.5 minutes, runtime = 2 h", [("latency_seconds", 90), ("runtime_seconds", 7200)]),
         ("MSE = 1.2e-3", [("mse", 0.0012)]),
         ("latency of 3 microseconds", [("latency_seconds", 3e-6)]),
-        ("throughput 1,234 msgs", [("throughput", 1234)]),
+        ("throughput 1,234 msgs", [("throughput_ops_per_second", 1234)]),
         ("completed in 250 ms", [("runtime_seconds", 0.25)]),
         ("now 3.5x faster, a 20% speedup", [("speedup", 3.5), ("speedup", 0.2)]),
         ("beats it by 5-7 %", [("speedup_range_low", 0.05), ("speedup_range_high", 0.07)]),

@@ -141,6 +141,66 @@ def test_near_copies_among_documents_are_found(spark, tmp_path, name, method, th
     assert all(got[k][0] == want[k][0] and math.isclose(got[k][1], want[k][1]) for k in want)
 
 
+def test_divisions_by_nothing(spark):
+    none = spark.createDataFrame([(0, 0.5), (0, 0.2)], "y int, y_score double")
+    assert one(study.average_precision(none.withColumn("i", F.col("y_score")), "y_score", F.col("y") == 1, "i"))[0] == 0.0
+    assert one(classification.auprc(none, F.col("y") == 1))[0] is None
+    with pytest.raises(Exception, match="no predictions"):
+        classification.accuracy(spark.createDataFrame([], "y_true string, y_pred string")).collect()
+
+
+def test_average_precision_of_many_ties(spark):
+    r = random.Random(5)
+    rows = [(i, r.choice([0.1, 0.5, 0.5, 0.5, r.random()]), r.random() < 0.3) for i in range(3000)]
+    df = spark.createDataFrame(rows, "i int, s double, y boolean")
+    ranked = sorted(rows, key=lambda x: (-x[1], x[0]))
+    hits, want = 0, []
+    for k, (_, _, y) in enumerate(ranked, 1):
+        hits += y
+        want += [hits / k] if y else []
+    assert one(study.average_precision(df, "s", F.col("y"), "i"))[0] == pytest.approx(sum(want) / len(want))
+
+
+def test_arm_scores_with_an_absent_status(spark):
+    rows = spark.createDataFrame([("supported", "supported"), ("supported", "not_verifiable"), ("not_verifiable", "not_verifiable")], "gold string, arm string")
+    s = one(study.arm_scores(rows, "gold", "arm", "contradicted"))
+    assert (s["macro_f1"], s["recall_positive"], s["false_accusation_rate"]) == pytest.approx(((2 / 3 + 1.0 + 2 / 3) / 3, 1.0, 0.0))
+    with pytest.raises(Exception, match="unknown status"):
+        study.arm_scores(rows.withColumn("arm", F.lit("maybe")), "gold", "arm", "contradicted").collect()
+
+
+def test_a_threshold_of_zero_compares_blank_rows_too(spark):
+    train = spark.createDataFrame([(1, "a b"), (2, "")], "id int, text string")
+    test = spark.createDataFrame([(5, "  "), (6, "b a")], "id int, text string")
+    got = {r["test_id"]: (r["train_id"], r["similarity"]) for r in similarity.best_matches(train, test, "id", "id", "text", 0.0, "token_jaccard_v1").collect()}
+    assert got == {5: (1, 0.0), 6: (1, 1.0)}
+    few = similarity.best_matches(train, test, "id", "id", "text", 0.5, "token_jaccard_v1", excluded=test.filter("id = 6"))
+    assert few.count() == 0
+
+
+def test_auprc_in_a_session_of_its_own():
+    import subprocess
+    import sys
+
+    code = """
+from pyspark.sql import SparkSession, functions as F
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from attestra.operators import classification
+d = s.createDataFrame([(1, 0.9), (0, 0.8), (1, 0.7), (0, 0.1)], "y int, y_score double")
+print("found", round(classification.auprc(d, F.col("y") == 1).first()[0], 6))
+"""
+    root = str(__import__("pathlib").Path(__file__).resolve().parent.parent)
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=200)
+    assert "found 0.833333" in out.stdout, out.stderr[-2000:]
+
+
+def test_counters_are_those_of_the_generated_corpora(spark):
+    c = one(leakage_plans.QUERIES["join_counters_sparse"](spark, ""))
+    assert tuple(c) == (10_000_000, 51_548, 500)
+    c = one(leakage_plans.QUERIES["join_counters_common"](spark, ""))
+    assert tuple(c) == (400_000, 400_000, 100)
+
+
 def test_join_counters(spark):
     train = spark.createDataFrame([(i, f"shared token{i}") for i in range(20)], "id int, text string")
     c = one(similarity.join_counters(train, train.limit(5), "id", "id", "text"))
@@ -224,7 +284,11 @@ def test_components_and_split(spark, tmp_path):
     got = {r["node"]: r["component"] for r in split.components(spark.createDataFrame(chain, "a int, b int"), "a", "b", f"file://{tmp_path}").collect()}
     assert got == {i: i // 10 * 10 for i in range(40)}
     assert split.components(spark.createDataFrame([], "a int, b int"), "a", "b", f"file://{tmp_path}").count() == 0
-    assert split.allocation(15) == {"train": 9, "validation": 3, "test": 3} and split.allocation(3) == {"train": 1, "validation": 1, "test": 1}
+    sizes = spark.createDataFrame([(n,) for n in (3, 4, 5, 8, 13, 15, 100)], "n bigint")
+    got = {r["n"]: tuple(r)[1:] for r in sizes.select("n", *split.seats(F.col("n"))).collect()}
+    assert got == {3: (1, 1, 1), 4: (2, 1, 1), 5: (3, 1, 1), 8: (5, 2, 1), 13: (8, 3, 2), 15: (9, 3, 3), 100: (60, 20, 20)}
+    with pytest.raises(Exception, match="too few groups"):
+        split.assign(spark.createDataFrame([("d", 1), ("d", 2)], "d string, k int"), "d", "k", 1).collect()
 
 
 def test_notebooks(spark):
