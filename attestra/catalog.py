@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from attestra.plans import claims, detection, features, leakage, metrics, study
+from attestra.plans import audit, claims, detection, features, leakage, metrics, study
 
-MODULES = (leakage, metrics, detection, study, claims, features)
+MODULES = (leakage, metrics, detection, study, claims, audit, features)
 
 
 def queries() -> dict:

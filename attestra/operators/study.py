@@ -264,3 +264,20 @@ def best_threshold(df: DataFrame, score: str, correct: Column) -> DataFrame:
     cum = running(by, "threshold", {"taken": "n", "tp": "c"}).crossJoin(F.broadcast(total))
     f1 = ratio(2 * F.col("tp"), F.col("taken") + F.col("pos"))
     return cum.select("threshold", f1.alias("f1")).agg(F.max(F.struct("f1", "threshold")).alias("m")).select("m.threshold", "m.f1")
+
+
+def balanced_threshold(df: DataFrame, score: str, actual: Column, steps: int = 1000) -> DataFrame:
+    """(threshold, tp, tn, fp, fn, accuracy, balanced_accuracy, precision, recall, specificity, f1) of the best of ``steps`` even thresholds.
+
+    Best by balanced accuracy, then F1, then the threshold.  Precision of no guesses is 1,
+    other shares of nothing are 0.
+    """
+    grid = df.sparkSession.range(1, steps + 1).select((F.col("id") / float(steps)).alias("threshold"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("c"), F.lit(1).alias("on_grid"))
+    by = df.groupBy(F.col(score).alias("threshold")).agg(F.count("*").alias("n"), F.sum(actual.cast("bigint")).alias("c"), F.lit(0).alias("on_grid"))
+    by = by.unionByName(grid).groupBy("threshold").agg(F.sum("n").alias("n"), F.sum("c").alias("c"), F.max("on_grid").alias("on_grid"))
+    total = df.agg(F.count("*").alias("all"), F.sum(actual.cast("bigint")).alias("pos"))
+    cum = running(by, "threshold", {"taken": "n", "tp": "c"}).filter("on_grid = 1").crossJoin(F.broadcast(total))
+    cum = cum.withColumn("fp", F.col("taken") - F.col("tp")).withColumn("fn", F.col("pos") - F.col("tp")).withColumn("tn", F.col("all") - F.col("taken") - F.col("fn"))
+    cum = cum.withColumn("precision", ratio(F.col("tp"), F.col("taken"), 1.0)).withColumn("recall", ratio(F.col("tp"), F.col("pos"))).withColumn("specificity", ratio(F.col("tn"), F.col("tn") + F.col("fp")))
+    cum = cum.withColumn("balanced_accuracy", (F.col("recall") + F.col("specificity")) / 2).withColumn("accuracy", (F.col("tp") + F.col("tn")) / F.col("all")).withColumn("f1", ratio(2.0 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+    return cum.orderBy(F.desc("balanced_accuracy"), F.desc("f1"), F.desc("threshold")).limit(1).select("threshold", "tp", "tn", "fp", "fn", "accuracy", "balanced_accuracy", "precision", "recall", "specificity", "f1")
