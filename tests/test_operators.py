@@ -410,3 +410,7 @@ def test_bootstrap_makes_the_reference_s_draws(spark):
     df = spark.createDataFrame([("a", 1), ("b", 0), ("c", 1)], "k string, v int")
     assert study.cluster_bootstrap(df, "k", {"v": F.col("v")}, F.col("v")).count() == 1000
     assert inspect.signature(features.train_logistic).parameters["epochs"].default == 200
+def test_texts_are_normalised_one_at_a_time():
+    from pyspark.util import PythonEvalType
+
+    assert T.normalize_text.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
