@@ -414,3 +414,42 @@ def test_texts_are_normalised_one_at_a_time():
     from pyspark.util import PythonEvalType
 
     assert T.normalize_text.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
+
+
+
+
+def _analyzed(df):
+    return df._jdf.queryExecution().analyzed().toString()
+
+
+@pytest.mark.parametrize("matching, interpolation", [(m, i) for m in detection.MATCHING for i in detection.INTERPOLATION])
+def test_no_window_holds_a_class_of_detections(spark, matching, interpolation):
+    r = random.Random(41)
+    box = lambda: (x := r.randrange(8), y := r.randrange(8), x + 6 + r.randrange(6), y + 6 + r.randrange(6))
+    truth = [(i, c, k, *map(float, box())) for i in range(40) for c in "ab" for k in range(3)]
+    guess = [(i, c, k, *[x + r.randrange(3) for x in xs], r.choice([0.2, 0.5, 0.9])) for i, c, k, *xs in truth]
+    t = spark.createDataFrame(truth, "image int, class_id string, box_id int, x1 double, y1 double, x2 double, y2 double")
+    p = spark.createDataFrame(guess, "image int, class_id string, box_id int, x1 double, y1 double, x2 double, y2 double, confidence double")
+    df = detection.average_precision(t, p, matching=matching, interpolation=interpolation)
+    assert "windowspecdefinition(class_id" not in _analyzed(df)
+    pairs = detection.iou_pairs(t, p)
+    for row in df.collect():
+        found = (detection.greedy(pairs, F.lit(row["threshold"])) if matching == "greedy" else detection.unique_pairs(pairs, row["threshold"])).filter(F.col("class_id") == row["class_id"]).collect() if row["threshold"] in (0.5, 0.8) else None
+        if found is None:
+            continue
+        hits, tp, curve = {(x["image"], x["prediction_id"]) for x in found}, 0, {}
+        for seen, g in enumerate(sorted((g for g in guess if g[1] == row["class_id"]), key=lambda g: (-g[-1], g[0], g[2])), 1):
+            tp += (g[0], g[2]) in hits
+            curve[tp / 120] = max(curve.get(tp / 120, 0.0), tp / seen)
+        best = lambda v: max((p for q, p in curve.items() if q >= v), default=0.0)
+        if interpolation == "coco_101_mean":
+            want = sum(best(i / 100.0) for i in range(101)) / 101
+        else:
+            ends = [(0.0, best(0)), *[(q, best(q)) for q in sorted(curve)], (1.0, 0.0)]
+
+            def at(x):
+                low, high = [k for k in ends if k[0] <= x][-1], next((k for k in ends if k[0] > x), None)
+                return low[1] if high is None else low[1] + (high[1] - low[1]) * (x - low[0]) / (high[0] - low[0])
+
+            want = sum((at(i / 100.0) + at((i + 1) / 100.0)) / 2.0 * 0.01 for i in range(100))
+        assert row["ap"] == pytest.approx(want, abs=1e-12)
