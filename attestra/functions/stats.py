@@ -32,17 +32,25 @@ def log_factorials(n: Column) -> Column:
 
 
 def mcnemar_exact(b: Column, c: Column) -> Column:
-    """Two-sided exact p of b against c discordant pairs; 1 without any."""
-    n, k = (b + c).cast("int"), F.least(b, c).cast("int")
-    start = F.struct(F.lit(0.0).alias("term"), F.lit(0.0).alias("sum"))
-    # term i is ln C(n, i); the tail is summed in the scale of its largest term, C(n, k)
-    last = F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), F.lit(0.0), lambda s, i: F.when(i <= k, s + F.log((n - i + 1).cast("double")) - F.log(i.cast("double"))).otherwise(s))
-    tail = F.aggregate(F.sequence(F.lit(0), k), start, lambda s, i: F.struct(_next(s["term"], n, i).alias("term"), (s["sum"] + F.exp(_next(s["term"], n, i) - last)).alias("sum")))["sum"]
-    return F.when(n > 0, F.least(F.lit(1.0), F.exp(last - n * F.log(F.lit(2.0)) + F.log(F.lit(2.0))) * tail)).otherwise(1.0)
-
-
-def _next(term: Column, n: Column, i: Column) -> Column:
-    return F.when(i == 0, F.lit(0.0)).otherwise(term + F.log((n - i + 1).cast("double")) - F.log(i.cast("double")))
+    """Two-sided exact p of b against c discordant pairs; 1 without any.
+
+    Each sum is a lambda's variable where another uses it: named in a lambda's body it would be
+    summed again for every term.
+    """
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def p(g: Column) -> Column:
+        n, k = g["n"], g["k"]
+        # ln C(n, k)
+        last = F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), F.lit(0.0), lambda s, i: F.when(i <= k, s + F.log((n - i + 1).cast("double")) - F.log(i.cast("double"))).otherwise(s))
+        # the tail in the scale of its largest term, C(n, k), from that down: C(n, i - 1) is C(n, i) i / (n - i + 1)
+        start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+        less = lambda s, i: s["term"] * i.cast("double") / (n - i + 1).cast("double")
+        step = lambda s, i: F.when(i < 1, s).otherwise(F.struct(less(s, i).alias("term"), (s["sum"] + less(s, i)).alias("sum")))
+        tail = F.aggregate(F.sequence(k, F.lit(0), F.lit(-1)), start, step, lambda s: s["sum"])
+        return F.when(n > 0, F.least(F.lit(1.0), F.exp(last - n * F.log(F.lit(2.0)) + F.log(F.lit(2.0))) * tail)).otherwise(1.0)
+
+    return let(F.struct((b + c).cast("int").alias("n"), F.least(b, c).cast("int").alias("k")), p)
 
 
 def cohen_kappa(both: Column, only_a: Column, only_b: Column, none: Column) -> Column:

@@ -453,3 +453,12 @@ def test_no_window_holds_a_class_of_detections(spark, matching, interpolation):
 
             want = sum((at(i / 100.0) + at((i + 1) / 100.0)) / 2.0 * 0.01 for i in range(100))
         assert row["ap"] == pytest.approx(want, abs=1e-12)
+
+
+def test_mcnemar_of_many_pairs_is_one_sum(spark):
+    b, c = 20_000, 20_400
+    n, term, total = b + c, 1, 0
+    for i in range(b + 1):
+        total += term
+        term = term * (n - i) // (i + 1)
+    assert one(spark.range(1).select(stats.mcnemar_exact(F.lit(b), F.lit(c))))[0] == pytest.approx(2 * total / 2**n if n < 1000 else float(__import__("fractions").Fraction(2 * total, 2**n)), rel=1e-9)
