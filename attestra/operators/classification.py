@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.functions.stats import ratio, wilson
+from attestra.sources.shared import kept
 
 EPSILON = 2.220446049250313e-16
 
@@ -66,13 +67,10 @@ def _by_score(df: DataFrame, positive: Column, score: str) -> DataFrame:
 def running(df: DataFrame, order: str, sums: dict[str, str], ascending: bool = False, buckets: int = 256) -> DataFrame:
     """df with running sums over distinct values of ``order``, without one task that sees all rows.
 
-    Values are cut into ranges by approximate quantiles; sums within a range are windowed in
+    df is cut into ranges of ``order`` and written once; sums within a range are windowed in
     parallel, and the sums of the ranges before are added from a table of one row a range.
     """
-    marks = sorted(set(df.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.001)))
-    # a sum of comparisons: of a lambda that names a column, the optimizer infers a filter for the other side of the join below, where that column isn't
-    cell = sum(((F.lit(m) <= F.col(order)).cast("int") for m in marks), F.lit(0))
-    marked = df.withColumn("__cell", cell)
+    marked = kept(df.repartitionByRange(buckets, order).withColumn("__cell", F.spark_partition_id()), "ranges")
     direction = F.col(order).asc() if ascending else F.col(order).desc()
     inside = Window.partitionBy("__cell").orderBy(direction).rowsBetween(Window.unboundedPreceding, 0)
     # at most ``buckets`` rows; summed up here, so the plan has no join of the table with itself

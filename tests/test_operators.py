@@ -462,3 +462,8 @@ def test_mcnemar_of_many_pairs_is_one_sum(spark):
         total += term
         term = term * (n - i) // (i + 1)
     assert one(spark.range(1).select(stats.mcnemar_exact(F.lit(b), F.lit(c))))[0] == pytest.approx(2 * total / 2**n if n < 1000 else float(__import__("fractions").Fraction(2 * total, 2**n)), rel=1e-9)
+
+
+def test_ranges_of_running_sums_are_no_expression(spark):
+    df = spark.range(3000).select(F.col("id").cast("double").alias("y_score"), F.col("id") % 2 == 0)
+    assert len(_analyzed(classification.auroc(df, F.col("y_score") % 3 == 0))) < 20_000
