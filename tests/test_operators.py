@@ -467,3 +467,17 @@ def test_mcnemar_of_many_pairs_is_one_sum(spark):
 def test_ranges_of_running_sums_are_no_expression(spark):
     df = spark.range(3000).select(F.col("id").cast("double").alias("y_score"), F.col("id") % 2 == 0)
     assert len(_analyzed(classification.auroc(df, F.col("y_score") % 3 == 0))) < 20_000
+
+
+@pytest.mark.parametrize("method", T.METHODS)
+def test_copies_are_not_expanded_into_pairs(spark, monkeypatch, method):
+    formed, whole = [], similarity._pairs
+    monkeypatch.setattr(similarity, "_pairs", lambda *a: formed.append(whole(*a)) or formed[-1])
+    texts = ["one two three four", "five six seven eight"]
+    docs = spark.createDataFrame([(i, "train validation test".split()[i % 3], texts[i % 2].upper() if i % 5 == 0 else texts[i % 2]) for i in range(600)], "i int, split string, text string")
+    train, test = docs.filter("split = 'train'"), docs.filter("split = 'test'")
+    got = {r["test_id"]: (r["train_id"], r["similarity"]) for r in similarity.best_matches(train, test, "i", "i", "text", 0.9, method).collect()}
+    assert got == {i: ((0, 1.0) if i % 2 == 0 else (3, 1.0)) for i in range(2, 600, 3)}
+    assert similarity.cross_split_near(docs, "i", "split", "text", 0.9, method).count() == 0 and len(formed) == 2  # one join for all splits; equal but for form
+    assert similarity.scored_pairs(train, test, "i", "i", "text").first()["scored"] == 2 * 100 * 100
+    assert [p.count() for p in formed] == [0, 0, 0]
