@@ -107,21 +107,9 @@ def normalize_ml(normal: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(plain, r"(?U)(?<![\w.])[-+]?\d+(?:[.,]\d+)*%?", "<num>"), r"(?U)\s+", " "))
 
 
-def word_grams(normal: Column) -> Column:
-    """Prefixed 1- and 2-grams of words, with repeats."""
-    none = F.array().cast("array<string>")
-
-    def grams(w: Column) -> Column:
-        one = F.transform(w, lambda x: F.concat(F.lit("w1:"), x))
-        two = F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat(F.lit("w2:"), F.element_at(w, i), F.lit(" "), F.element_at(w, i + 1)))).otherwise(none)
-        return F.concat(one, two)
-
-    return _let(F.regexp_extract_all(normal, F.lit(r"(?U)(<num>|\w+)"), 1), grams)
-
-
-def char_grams(normal: Column, sizes: tuple[int, ...] = (3, 4, 5)) -> Column:
-    """Prefixed character n-grams of the padded text, with repeats."""
-    return _let(F.concat(F.lit(" "), normal, F.lit(" ")), lambda p: F.concat(*[_runs(p, n, f"c{n}:") for n in sizes]))
+def ml_words(normal: Column) -> Column:
+    """Words of a text of normalize_ml(), <num> as one."""
+    return F.regexp_extract_all(normal, F.lit(r"(?U)(<num>|\w+)"), 1)
 
 
 def tally(values: Column) -> Column:

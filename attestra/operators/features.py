@@ -2,29 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestra.functions import grams as G
 from attestra.functions import text as T
 from attestra.functions.stats import sigmoid
 
 
-def _counts(df: DataFrame, key: str, text: str, grams, unique: bool) -> DataFrame:
-    normal = df.select(key, T.normalize_ml(T.normalize_text(F.col(text))).alias("n"))
-    if unique:
-        # the outer form, for the plain one's inferred filter would compute the features twice more
-        return normal.select(key, F.inline_outer(T.tally(grams(F.col("n"))))).filter("feature is not null")
-    return normal.select(key, F.explode(grams(F.col("n"))).alias("feature")).groupBy(key, "feature").agg(F.count("*").alias("n"))
+def _counts(df: DataFrame, key: str, text: str, read, sizes: tuple[int, ...] | None, unique: bool) -> DataFrame:
+    """Counted per row in Arrow; rows of one key are added up, where ``unique`` doesn't rule them out."""
+    kind = df.schema[key].dataType.simpleString()
+    normal = df.filter(F.col(text).isNotNull()).select(key, read(T.normalize_ml(T.normalize_text(F.col(text)))).alias("x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, feature, n in G.batch_tally(b.column(1), sizes):
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), feature, pa.array(n, pa.int64())], [key, "feature", "n"])
+
+    rows = normal.mapInArrow(run, f"`{key}` {kind}, feature string, n bigint")
+    return rows if unique else rows.groupBy(key, "feature").agg(F.sum("n").alias("n"))
 
 
 def word_counts(df: DataFrame, key: str, text: str, unique: bool = False) -> DataFrame:
     """(key, feature, n) of word 1- and 2-grams of the normalised text; with ``unique`` keys, one row each, without a shuffle."""
-    return _counts(df, key, text, T.word_grams, unique)
+    return _counts(df, key, text, T.ml_words, None, unique)
 
 
 def character_counts(df: DataFrame, key: str, text: str, unique: bool = False) -> DataFrame:
     """(key, feature, n) of character 3-, 4- and 5-grams."""
-    return _counts(df, key, text, T.char_grams, unique)
+    return _counts(df, key, text, lambda c: c, (3, 4, 5), unique)
 
 
 def idf(counts: DataFrame, documents: DataFrame, size: int = 20_000) -> DataFrame:

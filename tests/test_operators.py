@@ -404,6 +404,27 @@ def test_text_features_are_of_whole_documents(spark, tmp_path):
     assert {(x["doc_id"], x["feature"]): x["weight"] for x in run("tfidf_documents")} == pytest.approx(want)
 
 
+def test_n_grams_are_counted_on_arrays():
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from attestra.functions import grams
+
+    r = random.Random(14)
+    wide = "".join(map(chr, range(0x4E00, 0x4E00 + 5000)))  # more characters than five fit into 63 bits
+    texts = ["", "a", "ab", "aaaaaa", "naïve 𝒳𝒳 <num>", "\0é\0a世\0\0\0", wide, wide[::-1] + wide[:9], "z" * (grams.GROUP + 5), *["".join(r.choice("abcдéß世 ") for _ in range(n)) for n in (1, 50, 9000)]]
+    want = Counter((i, f"c{k}:{p[j : j + k]}") for i, t in enumerate(texts) for p in [f" {t} "] for k in (3, 4, 5) for j in range(len(p) - k + 1))
+    rows = lambda parts: [((int(i), f), int(n)) for row, feature, count in parts for i, f, n in zip(row, feature.to_pylist(), count)]
+    got = rows(grams.batch_tally(pa.array(texts), (3, 4, 5)))
+    assert len(got) == len(want) and dict(got) == want
+    lists = [[], ["a"], ["a", "a", "a"], [], ["b", "<num>", "ж"], [r.choice("abcdef") for _ in range(grams.GROUP + 5)], ["a"]]
+    want = Counter((i, f) for i, w in enumerate(lists) for f in [f"w1:{x}" for x in w] + [f"w2:{x} {y}" for x, y in zip(w, w[1:])])
+    got = rows(grams.batch_tally(pa.array(lists, pa.list_(pa.string())), None))
+    assert len(got) == len(want) and dict(got) == want
+    assert not rows(grams.batch_tally(pa.array([], pa.string()), (3,))) and not rows(grams.batch_tally(pa.array([[]], pa.list_(pa.string())), None))
+
+
 def test_bootstrap_makes_the_reference_s_draws(spark):
     import inspect
 
