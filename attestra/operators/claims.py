@@ -22,6 +22,9 @@ CLAIM = "line int, metric string, value double, raw_text string, context map<str
 _SEPARATOR = r"(?:\s*[:=]\s*|\s+(?:is|was|of|at|reached|составила|составил)\s+(?:of\s+)?|\s+)"
 _NUMBER = r"([-−]?\d+(?:[.,]\d+)*)\s*(%)?"
 CORE = rf"(?i)\b({N.PATTERN}){_SEPARATOR}{_NUMBER}"
+#: CORE with the names as a tree, and the same for a match of it: there the name is at the start, so no other is.
+_SEARCH = rf"(?i)\b({N.TREE}){_SEPARATOR}{_NUMBER}"
+_CLAIM = rf"(?i)^({N.TREE}){_SEPARATOR}{_NUMBER}"
 
 
 def parse_number(raw: Column) -> Column:
@@ -47,15 +50,24 @@ def memory_mb(value: Column, unit: Column) -> Column:
 
 
 def core_claims(reports: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line, position, metric, value) by the core grammar, line by line; native."""
-    lines = reports.filter(F.col(text).rlike(r"\d")).select(key, F.posexplode(F.split(text, "\n")).alias("line", "body"))
-    part = lambda g: F.regexp_extract_all("body", F.lit(CORE), g)
-    each = lines.select(key, "line", F.posexplode(F.arrays_zip(part(1).alias("name"), part(2).alias("number"), part(3).alias("sign"))).alias("position", "m"))
-    metric = N.canonical_column(F.col("m.name"))
-    value = normalize_value(metric, parse_number(F.col("m.number")), F.col("m.sign") == "%")
+    """(key, line, position, metric, value) by the core grammar, line by line; native.
+
+    A line is searched once, and its claims are taken apart one by one.
+    """
+    lines = spread(reports.select(key, text), key).filter(F.col(text).rlike(r"\d")).select(key, F.posexplode(F.split(text, "\n")).alias("line", "body")).filter(F.col("body").rlike(r"\d"))
+    each = lines.select(key, "line", F.posexplode(F.regexp_extract_all("body", F.lit(_SEARCH), 0)).alias("position", "claim"))
+    part = lambda g: F.regexp_extract("claim", _CLAIM, g)
+    metric = N.canonical_column(part(1))
+    value = normalize_value(metric, parse_number(part(2)), part(3) == "%")
     return each.select(key, (F.col("line") + 1).alias("line"), "position", metric.alias("metric"), value.alias("value"))
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows by key over all cores: a few MB of reports are one split of a file, and yet minutes of work."""
+    s = rows.sparkSession
+    return rows.repartition(max(4 * s.sparkContext.defaultParallelism, int(s.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 class _Tables(HTMLParser):
     """Rows of cells of all tables, with their lines."""
 
@@ -80,12 +92,13 @@ class _Tables(HTMLParser):
             self._cell = None
 
 
+_DIGIT = re.compile(r"\d")
 _DIGITS = r"[-−]?\d+(?:[.,]\d+)*(?:e[-+−]?\d+)?"
 _TIME = r"nanoseconds?|ns|microseconds?|us|µs|μs|milliseconds?|msec|ms|seconds?|secs?|s|minutes?|mins?|hours?|h"
 _DURATIONS = {"n": 1e-9, "u": 1e-6, "µ": 1e-6, "μ": 1e-6, "mic": 1e-6, "ms": 1e-3, "mil": 1e-3, "s": 1.0, "m": 60.0, "h": 3600.0}
 _MEMORY = {"kb": 1 / 1024, "kib": 1 / 1024, "mb": 1.0, "mib": 1.0, "gb": 1024.0, "gib": 1024.0}
 _COUNT = r"(?<![\w.,])([1-9]\d{0,2}(?:,\d{3})+|[1-9]\d*)"
-_PROSE = re.compile(rf"(?i)\b({N.PATTERN}){_SEPARATOR}({_DIGITS})\s*(?:(%)|({_TIME}|[kmg]i?b)\b)?")
+_PROSE = re.compile(rf"(?i)\b({N.TREE}){_SEPARATOR}({_DIGITS})\s*(?:(%)|({_TIME}|[kmg]i?b)\b)?")
 _CELL = re.compile(rf"^\s*[*_`]*({_DIGITS})\s*(%)?\s*({_TIME}|kb|mb|gb)?\s*[*_`]*(?:\s*(?:±|\+/-).*)?$", re.I)
 _COCO = re.compile(rf"(?i)Average\s+(Precision|Recall)\s+\((?:AP|AR)\)\s+@\[\s*IoU=([0-9.:]+)\s*\|\s*area=\s*(\w+)\s*\|[^]]*\]\s*=\s*({_DIGITS})")
 _DURATION = re.compile(rf"(?i)(?:processing\s+time\s*[:=]|complet(?:e|ed|ing)(?:\s+the\s+(?:test|run))?\s+in)\s*({_DIGITS})\s*({_TIME}|m)\b")
@@ -151,28 +164,33 @@ def _split(line: str) -> list[str] | None:
 
 
 def _prose(body: str) -> Iterator[tuple[str, float, dict]]:
-    """(metric, value, context) of a line outside tables."""
-    if m := _COCO.search(body):
+    """(metric, value, context) of a line outside tables.  All forms have a digit; one is looked for where some word of it is there."""
+    if not _DIGIT.search(body):
+        return
+    low = body.lower()
+    all_ = not body.isascii()  # some other letters count as small ones of the words
+    may = lambda *words: all_ or any(w in low for w in words)
+    if may("average") and (m := _COCO.search(body)):
         if m[3].lower() == "all":
             yield ("ar" if m[1].lower() == "recall" else {"0.50:0.95": "map50_95", "0.50": "map50", "0.75": "map75"}.get(m[2], "ap")), number(m[4]), {}
         return
-    for m in _DURATION.finditer(body):
+    for m in _DURATION.finditer(body) if may("processing", "complet") else ():
         yield "runtime_seconds", number(m[1]) * _seconds(m[2]), {}
-    for m in _SPEEDUP.finditer(body):
+    for m in _SPEEDUP.finditer(body) if may("faster", "speedup") else ():
         yield "speedup", number(m[1]) / (100 if m[2] else 1), {}
-    for m in _SPEEDUP_RANGE.finditer(body):
+    for m in _SPEEDUP_RANGE.finditer(body) if may("beat") else ():
         yield "speedup_range_low", number(m[1].lstrip("-−")) / 100, {}
         yield "speedup_range_high", number(m[2].lstrip("-−")) / 100, {}
-    for m in _MEMORY_CHANGE.finditer(body):
+    for m in _MEMORY_CHANGE.finditer(body) if may("memory") else ():
         yield "memory_mb", number(m[1]) * _MEMORY[m[2].lower()], {"state": "after"}
         yield "memory_mb", number(m[3]) * _MEMORY[m[4].lower()], {"state": "before"}
-    for m in _VRAM.finditer(body):
+    for m in _VRAM.finditer(body) if may("vram") else ():
         yield "memory_mb", number(m[1]) * _MEMORY[m[2].lower()], {}
-    for m in _TESTS.finditer(body):
+    for m in _TESTS.finditer(body) if may("python", "typescript", "tests") else ():
         yield "test_count", number(m[1]), {"scope": m[2] or "total"}
-    for m in _PASSED.finditer(body):
+    for m in _PASSED.finditer(body) if may("passed") else ():
         yield "test_count", number(m[1]), {"scope": "total"}
-    for m in _RANKED.finditer(body):
+    for m in _RANKED.finditer(body) if may("@") else ():
         value = number(m[3])
         yield f"{m[1].lower()}_{m[2]}", value / 100 if m[4] or 1 < abs(value) <= 100 else value, {}
     for m in _PROSE.finditer(body):
@@ -188,8 +206,9 @@ def _prose(body: str) -> Iterator[tuple[str, float, dict]]:
 def claims(text: str) -> list[tuple]:
     """(line, metric, value, raw_text, context) of all layers, by line."""
     out: list[tuple] = []
-    masked = re.sub(r"(?is)<table\b.*?</table>", lambda m: "\n" * m[0].count("\n"), text)
-    for m in re.finditer(r"(?is)<table\b.*?</table>", text):
+    html = "<" in text
+    masked = re.sub(r"(?is)<table\b.*?</table>", lambda m: "\n" * m[0].count("\n"), text) if html else text
+    for m in re.finditer(r"(?is)<table\b.*?</table>", text) if html else ():
         start = text.count("\n", 0, m.start())
         parser = _Tables()
         parser.feed(m[0])
@@ -250,7 +269,7 @@ def extract(reports: DataFrame, key: str, text: str) -> DataFrame:
             rows = [(k, *c) for k, t in zip(b[key], b[text]) for c in claims(t)]
             yield pd.DataFrame(rows, columns=[key, "line", "metric", "value", "raw_text", "context"])
 
-    return reports.select(key, text).filter(F.col(text).rlike(r"\d")).mapInPandas(run, f"{key} {kind}, {CLAIM}")
+    return spread(reports.select(key, text), key).filter(F.col(text).rlike(r"\d")).mapInPandas(run, f"{key} {kind}, {CLAIM}")
 
 
 def contexts_compatible(a: Column, b: Column) -> Column:
