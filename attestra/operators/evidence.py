@@ -56,13 +56,19 @@ def graph_nodes(checks: DataFrame, observations: DataFrame, key: str) -> DataFra
 
 
 def graph_edges(checks: DataFrame, observations: DataFrame, key: str) -> DataFrame:
-    """(key, source, target, relation): metrics support or contradict claims of their name, claims raise findings."""
-    number = lambda *c: F.lpad(F.row_number().over(Window.partitionBy(key).orderBy(*c)).cast("string"), 4, "0")
-    m = observations.select(F.col(key), F.col("metric"), F.concat(F.lit("metric:"), number("metric", "source", "value")).alias("source"))
-    c = checks.withColumn("target", F.concat(F.lit("claim:"), number("line", "position")))
-    judged = c.filter("status <> 'no_evidence'").join(m, [key, "metric"]).select(key, "source", "target", F.when(F.col("status") == "mismatch", "contradicts").otherwise("supports").alias("relation"))
-    raised = c.filter("status = 'mismatch'").select(key, F.col("target").alias("source"), F.concat(F.lit("finding:"), number("line", "position")).alias("target"), F.lit("raises").alias("relation"))
-    return judged.unionByName(raised)
+    """(key, source, target, relation): metrics support or contradict claims of their name, claims raise findings.  The checks are made once."""
+    four = lambda n: F.lpad(n.cast("string"), 4, "0")
+    order = lambda *c: Window.partitionBy(key).orderBy(*c)
+    m = observations.select(key, "metric", F.concat(F.lit("metric:"), four(F.row_number().over(order("metric", "source", "value")))).alias("source"))
+    m = m.groupBy(key, "metric").agg(F.collect_list("source").alias("sources"))
+    bad, by = F.col("status") == "mismatch", order("line", "position")
+    c = checks.select(key, "metric", "status", F.concat(F.lit("claim:"), four(F.row_number().over(by))).alias("claim"), F.concat(F.lit("finding:"), four(F.count_if(bad).over(by.rowsBetween(Window.unboundedPreceding, 0)))).alias("finding"))
+    edge = lambda source, target, relation: F.struct(source.alias("source"), target.alias("target"), relation.alias("relation"))
+    none = F.array().cast("array<struct<source:string,target:string,relation:string>>")
+    judged = F.when(F.col("status") != "no_evidence", F.transform("sources", lambda s: edge(s, F.col("claim"), F.when(bad, "contradicts").otherwise("supports"))))
+    raised = F.when(bad, F.array(edge(F.col("claim"), F.col("finding"), F.lit("raises"))))
+    found = c.filter("status <> 'no_evidence'").join(m, [key, "metric"], "left")
+    return found.select(key, F.inline(F.concat(F.coalesce(judged, none), F.coalesce(raised, none))))
 
 
 def mismatch_witness(edges: DataFrame, key: str) -> DataFrame:
