@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attestra.operators import audit as A
 from attestra.operators import study as S
 from attestra.plans import claims as P
+from attestra.sources.shared import kept
 from attestra.sources.tables import SCORED_LABELS, scored_labels, table
 
 
@@ -35,7 +36,7 @@ def audit_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def certificate_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sealed entries of which some were tampered with, some dropped and some invented."""
-    fresh, key = audit_reports(spark, sf_dir), F.col("p_partkey")
+    fresh, key = kept(audit_reports(spark, sf_dir), "entries"), F.col("p_partkey")
     seal = fresh.filter(key % 11 != 0).select("p_partkey", F.when(key % 13 == 0, F.reverse("certificate_sha256")).otherwise(F.col("certificate_sha256")).alias("certificate_sha256"))
     extra = seal.filter(key % 17 == 0).select((-key).alias("p_partkey"), "certificate_sha256")
     return A.certificate_errors(seal.unionByName(extra), fresh, "p_partkey")

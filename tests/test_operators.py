@@ -447,6 +447,13 @@ def test_claims_of_one_small_file_are_spread_and_searched_once(spark, tmp_path):
     assert sorted(tuple(x)[1:] for x in edges.filter("k = 8").collect()) == [*raised, ("metric:0001", "claim:0002", "contradicts"), ("metric:0002", "claim:0001", "contradicts")]
 
 
+def test_certificates_are_checked_against_one_audit(spark):
+    from attestra.plans import audit as audit_plans
+
+    plan = audit_plans.certificate_errors(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and "aggregate" not in plan.lower()
+
+
 def test_bootstrap_makes_the_reference_s_draws(spark):
     import inspect
 
