@@ -46,7 +46,7 @@ def idf(counts: DataFrame, documents: DataFrame, size: int = 20_000) -> DataFram
 
 def tfidf(counts: DataFrame, weights: DataFrame, key: str) -> DataFrame:
     """(key, feature, weight): (1 + ln tf) idf, of length 1 for each key."""
-    raw = counts.join(weights.select("feature", "idf"), "feature").select(key, "feature", ((1.0 + F.log("n")) * F.col("idf")).alias("w"))
+    raw = counts.join(F.broadcast(weights.select("feature", "idf")), "feature").select(key, "feature", ((1.0 + F.log("n")) * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return raw.select(key, "feature", (F.col("w") / norm).alias("weight"))
 

@@ -454,6 +454,12 @@ def test_certificates_are_checked_against_one_audit(spark):
     assert "regexp" not in plan and "aggregate" not in plan.lower()
 
 
+def test_weights_go_to_the_counts(spark):
+    counts = spark.createDataFrame([(1, "w1:a", 2)], "id long, feature string, n long")
+    plan = features.tfidf(counts, spark.createDataFrame([("w1:a", 1.5)], "feature string, idf double"), "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+
+
 def test_bootstrap_makes_the_reference_s_draws(spark):
     import inspect
 
