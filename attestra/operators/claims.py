@@ -52,13 +52,14 @@ def memory_mb(value: Column, unit: Column) -> Column:
 def core_claims(reports: DataFrame, key: str, text: str) -> DataFrame:
     """(key, line, position, metric, value) by the core grammar, line by line; native.
 
-    A line is searched once, and its claims are taken apart one by one.
+    A line is searched once, and each of its claims is taken apart by one further match.
     """
     lines = spread(reports.select(key, text), key).filter(F.col(text).rlike(r"\d")).select(key, F.posexplode(F.split(text, "\n")).alias("line", "body")).filter(F.col("body").rlike(r"\d"))
     each = lines.select(key, "line", F.posexplode(F.regexp_extract_all("body", F.lit(_SEARCH), 0)).alias("position", "claim"))
-    part = lambda g: F.regexp_extract("claim", _CLAIM, g)
-    metric = N.canonical_column(part(1))
-    value = normalize_value(metric, parse_number(part(2)), part(3) == "%")
+    part = F.split(F.regexp_replace("claim", _CLAIM, "$1\u0001$2\u0001$3"), "\u0001")  # a claim is names, spaces, signs and digits
+    each = each.select(key, "line", "position", part.alias("part"))
+    metric = N.canonical_column(F.col("part")[0])
+    value = normalize_value(metric, parse_number(F.col("part")[1]), F.col("part")[2] == "%")
     return each.select(key, (F.col("line") + 1).alias("line"), "position", metric.alias("metric"), value.alias("value"))
 
 

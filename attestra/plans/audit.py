@@ -26,8 +26,7 @@ def audit_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def audit_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From the text of every report and its observations to a sealed entry each."""
-    checks = P.claim_check(spark, sf_dir)
-    return A.reports(table(spark, sf_dir, "part"), checks, A.findings(checks, evidence_conflicts(spark, sf_dir), "p_partkey"), "p_partkey")
+    return A.reports(table(spark, sf_dir, "part"), P.claim_check(spark, sf_dir), P.evidence_merge(spark, sf_dir), "p_partkey")
 
 
 def audit_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
